@@ -8,6 +8,7 @@ def load():
     from hindcast.catalog import registry
     from hindcast.catalog import (  # noqa: F401  (registration happens on import)
         ingest,
+        evaluation,
     )
 
     return registry.callables(), dict(registry.ORACLE)

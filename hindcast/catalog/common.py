@@ -17,4 +17,4 @@ def sql_ts(expr: str) -> str:
 
 def num(c: Column | str, digits: int = 8) -> Column:
     """A rounded double: enough digits to tell errors from summation order."""
-    return F.round(c if isinstance(c, Column) else F.col(c), digits)
+    return F.round(c, digits) if isinstance(c, Column) else F.round(F.col(c), digits).alias(c)

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Windows over compact rows are heavy per byte: merge partitions less eagerly.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 

@@ -399,7 +399,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "pull_requests": ([], f"select {_sql_sel(PR_COLUMNS)} from orders join customer on o_custkey = c_custkey "
                           "join nation on c_nationkey = n_nationkey"),
     "pr_text": ([], f"select o_orderkey as pr_id, {TITLE} as title, "
-                    f"concat(coalesce(concat(d.text, chr(10)), ''), {BODY_TAIL}) as body "
+                    f"concat(coalesce(d.text || chr(10), ''), {BODY_TAIL}) as body "
                     "from orders left join documents d on o_orderkey = d.doc_id"),
     "landed_files": ([], f"select {_sql_sel(FILE_COLUMNS)} from lineitem join part on l_partkey = p_partkey"),
     "pr_files": (["landed_files"],
@@ -454,5 +454,5 @@ def with_views(names: list[str], body: str, extra: dict[str, str] | None = None)
     for name in names:
         visit(name)
     parts = [f"{n} as ({VIEWS[n][1]})" for n in ordered]
-    parts += [f"{n} as ({sql})" for n, sql in (extra or {}).items()]
+    parts += [f"{n} as materialized ({sql})" for n, sql in (extra or {}).items()]
     return f"with {', '.join(parts)} {body}" if parts else body
