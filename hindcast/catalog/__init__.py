@@ -9,6 +9,7 @@ def load():
     from hindcast.catalog import (  # noqa: F401  (registration happens on import)
         ingest,
         evaluation,
+        snapshots,
     )
 
     return registry.callables(), dict(registry.ORACLE)

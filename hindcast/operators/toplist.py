@@ -24,17 +24,14 @@ def _bucket(ts: Column, width: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(width)).cast("bigint")
 
 
-def _blocks(levels: int) -> Column:
-    """Aligned blocks (level, block) that tile the half-open range [_from, _to)."""
-    first = "shiftright(_from + shiftleft(1L, l) - 1, l)"
-    last = "shiftright(_to, l)"
-    return F.expr(
-        f"""flatten(transform(sequence(0, {levels}), l -> array_compact(array(
-                case when {first} < {last} and ({first} & 1L) = 1
-                     then named_struct('level', l, 'block', {first}) end,
-                case when {first} < {last} and ({last} & 1L) = 1
-                     then named_struct('level', l, 'block', {last} - 1) end))))"""
-    )
+def _blocks(spans: DataFrame, keep: list[str]) -> DataFrame:
+    """Cut the half-open range [_from, _to) of each row into aligned blocks (level, block)."""
+    level = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_to") - F.col("_from"))).cast("int"))).alias("level")
+    bounds = spans.select(*keep, "_from", "_to", level).selectExpr(
+        *keep, "level", "shiftright(_from + shiftleft(1L, level) - 1, level) as _a", "shiftright(_to, level) as _z"
+    ).filter("_a < _z and ((_a & 1L) = 1 or (_z & 1L) = 1)")
+    both = F.explode(F.expr("array(case when (_a & 1L) = 1 then _a end, case when (_z & 1L) = 1 then _z - 1 end)")).alias("block")
+    return bounds.select(*keep, "level", both).filter(F.col("block").isNotNull())
 
 
 def windowed_top(
@@ -95,8 +92,7 @@ def windowed_top(
     spans = steps.filter((F.col("_x") < F.col("_to")) & (F.col("_base") > 0)).withColumnRenamed("_x", "_from")
     in_block = Window.partitionBy(*group, "level", "block").orderBy(F.col("_base").desc(), F.col(member))
     best = (
-        spans.select(*group, member, "_base", F.explode(_blocks(levels)).alias("b"))
-        .select(*group, member, "_base", "b.level", "b.block")
+        _blocks(spans, [*group, member, "_base"])
         .withColumn("_rn", F.row_number().over(in_block))
         .filter(F.col("_rn") <= k)
         .drop("_rn")
