@@ -10,6 +10,7 @@ def load():
         ingest,
         evaluation,
         snapshots,
+        features,
     )
 
     return registry.callables(), dict(registry.ORACLE)

@@ -76,22 +76,24 @@ def last_value_before(
     )
 
 
-def running_total(rows: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, chunk: str = "MONTH") -> DataFrame:
-    """Add ``out``: sum of ``value`` over the key up to and including each row."""
+def running_total(rows: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, str], chunk: str = "MONTH") -> DataFrame:
+    """Running sums per key, up to and including each row: ``values`` maps column to output name.
+
+    All values share one pass; the helper reads its input twice (rows and chunk
+    totals), so it must not be chained once per value.
+    """
     marked = rows.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
     inside = (
         Window.partitionBy(*keys, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        marked.groupBy(*keys, "_chunk")
-        .agg(F.sum(value).alias("_s"))
-        .withColumn("_carry", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
-        .select(*keys, "_chunk", "_carry")
+        marked.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+        .select(*keys, "_chunk", *[F.coalesce(F.sum(f"_s_{v}").over(earlier), F.lit(0)).alias(f"_carry_{v}") for v in values])
     )
     return (
-        marked.withColumn("_in", F.sum(value).over(inside))
+        marked.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
         .join(carried, [*keys, "_chunk"])
-        .withColumn(out, F.coalesce(F.col("_in"), F.lit(0)) + F.col("_carry"))
-        .select(*rows.columns, out)
+        .select(*rows.columns, *[
+            (F.coalesce(F.col(f"_in_{v}"), F.lit(0)) + F.col(f"_carry_{v}")).alias(out) for v, out in values.items()])
     )

@@ -137,7 +137,7 @@ def windowed_totals(
     moves = enter.unionByName(leave).groupBy(*keys, "_ts", "_o").agg(F.sum("_v").alias("_v"))
     stream = moves.unionByName(asks)
     return (
-        running_total(stream, keys, "_ts", "_o", "_v", out, chunk)
+        running_total(stream, keys, "_ts", "_o", {"_v": out}, chunk)
         .filter("_o = 1")
         .select(*keys, F.col("_ts").alias(at), out)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -51,6 +52,8 @@ def main() -> int:
     con = duck(sf)
     bad = 0
     for name in names:
+        guard = threading.Timer(float(os.environ.get("LIMIT", "60")), spark.sparkContext.cancelAllJobs)
+        guard.start()
         try:
             t0 = time.time()
             df = queries[name](spark, sf)
@@ -58,8 +61,10 @@ def main() -> int:
             t1 = time.time() - t0
         except Exception as exc:  # noqa: BLE001
             bad += 1
-            print(f"ERR  {name}: {str(exc)[:1500]}")
+            print(f"ERR  {name}: {str(exc)[:700]}", flush=True)
             continue
+        finally:
+            guard.cancel()
         if name not in oracle:
             print(f"rows {name}: {len(rows)} rows, spark {t1:.1f}s (no SQL)")
             continue
