@@ -11,6 +11,8 @@ def load():
         evaluation,
         snapshots,
         features,
+        boundaries,
+        streams,
     )
 
     return registry.callables(), dict(registry.ORACLE)

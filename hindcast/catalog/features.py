@@ -172,7 +172,7 @@ def _authored(t: DriverTables) -> DataFrame:
     return t.pull_requests.select("repo_id", F.col("author_id").alias("user_id"), "pr_id", F.col("created_at").alias("ts"))
 
 
-@query("candidate_activity", with_views(PAIR_VIEWS, """select p.pr_id, p.login, p.type = 'Bot' or suffix(lower(p.login), '[bot]') as is_bot,
+@query("candidate_activity", with_views(PAIR_VIEWS, """select p.pr_id, p.login, coalesce(p.type = 'Bot', false) or suffix(lower(p.login), '[bot]') as is_bot,
     count(a.ts) filter (a.ts >= p.cutoff - interval '7' day) as events_7d, count(a.ts) filter (a.ts >= p.cutoff - interval '30' day) as events_30d,
     count(a.ts) filter (a.ts >= p.cutoff - interval '180' day and a.kind = 'review_submitted') as reviews_180d, count(a.ts) filter (a.ts >= p.cutoff - interval '180' day and a.kind <> 'review_submitted') as comments_180d,
     epoch(p.cutoff - max(a.ts))::double as last_seen_seconds, round(epoch(p.cutoff - min(a.ts)) / 86400.0::double, 8) as account_age_days, coalesce(any_value(l.n), 0) as open_reviews
