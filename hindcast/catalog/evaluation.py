@@ -11,6 +11,7 @@ from hindcast.catalog.frames import ACTIVITY_SQL, COHORT_SQL
 from hindcast.catalog.registry import query
 from hindcast.operators import compare, gates, metrics, truth
 from hindcast.plans import rankers
+from hindcast.session import stored
 from hindcast.sources.binding import DriverTables, with_views
 
 TOP_K = 5
@@ -400,7 +401,7 @@ def _deltas(t: DriverTables) -> DataFrame:
 
 @query("bootstrap_ci", with_views(METRIC_VIEWS, "select round((select mean from ordered where i = 12), 8) as ci_lo, round((select mean from ordered where i = 486), 8) as ci_hi", promotion_sql()))
 def bootstrap_ci(t: DriverTables) -> DataFrame:
-    means = gates.bootstrap_means(_deltas(t), "delta_mrr", "pr_id")
+    means = gates.bootstrap_means(stored(_deltas(t)), "delta_mrr", "pr_id")
     return gates.bootstrap_ci(means).select(num("ci_lo").alias("ci_lo"), num("ci_hi").alias("ci_hi"))
 
 
@@ -408,7 +409,7 @@ def bootstrap_ci(t: DriverTables) -> DataFrame:
     (select bool_and(g.pass) from qg) as gates_pass, (select count(*) from dm) >= 120 and (select avg(d) from dm) >= 0.015 and (select mean from ordered where i = 12) > 0
     and (select bool_and(g.pass) from qg) and (select avg(h) from dm) >= -0.01 as promote""", promotion_sql()))
 def promotion_delta(t: DriverTables) -> DataFrame:
-    deltas = _deltas(t)
+    deltas = stored(_deltas(t))  # read by the means and by every resample
     ci = gates.bootstrap_ci(gates.bootstrap_means(deltas, "delta_mrr", "pr_id"))
     verdict = gates.promotion(deltas, ci, gates.quality_gates(fr.gate_rows(t, TRUTH_WINDOW), ROUTERS, ["repo_id"]))
     return verdict.select("n", num("delta_mrr").alias("delta_mrr"), num("delta_hit_at_1").alias("delta_hit_at_1"), "gates_pass", "promote")

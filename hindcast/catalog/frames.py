@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions import text as X
 from hindcast.operators import asof, cohort as co, intervals, metrics, ownership, truth
 from hindcast.plans import rankers
+from hindcast.session import stored
 from hindcast.sources.binding import DriverTables
 
 CUTOFF_POLICY = "created_at+3d"
@@ -92,11 +93,17 @@ def labels(t: DriverTables, policies: list[str] | None, window: int) -> DataFram
 
 
 def all_routes(t: DriverTables, routers: list[str], k: int = 5) -> DataFrame:
-    sources = source_routes(t)
-    merged = rankers.union(sources, rankers.UNION_DEPTH)
-    by_name = dict(zip(["mentions", "popularity", "codeowners"], sources))
-    by_name["union"] = merged
-    by_name["hybrid_ranker"] = rankers.hybrid(merged, k=k)
+    """Ranked candidates of several rankers; the sources feed the merged ones and are stored once."""
+    names = ["mentions", "popularity", "codeowners"]
+    parts = source_routes(t)
+    if set(routers) <= set(names):
+        by_name = dict(zip(names, parts))
+    else:
+        table = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+        by_name = {n: table.filter(F.col("router_id") == n) for n in names}
+        merged = rankers.union([table], rankers.UNION_DEPTH)
+        by_name["union"] = merged
+        by_name["hybrid_ranker"] = rankers.hybrid(merged, k=k)
     out = None
     for r in routers:
         part = by_name[r].filter(F.col("rank") <= k).select("router_id", "pr_id", "rank", "target_type", "target_name")
@@ -111,7 +118,7 @@ def per_pr(t: DriverTables, routers: list[str], policies: list[str], window: int
 def two_runs(t: DriverTables, routers: list[str], window: int) -> tuple[DataFrame, DataFrame]:
     """A baseline run, and a candidate that lists only two names and has no hybrid ranker output."""
     lab = labels(t, ["first_response_v1", "first_approval_v1"], window)
-    routes = all_routes(t, routers)
+    routes, lab = stored(all_routes(t, routers)), stored(lab)
     cut = routes.filter((F.col("rank") <= 2) & (F.col("router_id") != "hybrid_ranker"))
     return metrics.agreement(lab, routes, routers), metrics.agreement(lab, cut, routers)
 

@@ -54,3 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> No
     """Make ``DataFrame.checkpoint`` usable, keeping a folder the cluster already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, default))
+
+
+def stored(df):
+    """Write a table that several later steps read to the shared folder, once.
+
+    A reliable checkpoint: it outlives lost executors, unlike cached blocks.  In
+    local sessions without ``spark.checkpoint.dir`` the system's temporary folder
+    serves; a cluster must name a shared one.
+    """
+    import tempfile
+
+    spark = df.sparkSession
+    local = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
+    ensure_checkpoint_dir(spark, local)
+    return df.checkpoint()
