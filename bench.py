@@ -30,6 +30,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": sf_dir.rstrip("/").rsplit("/sf", 1)[-1]}))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.catalog import frames as fr
 from hindcast.catalog.common import num, sql_ts, ts
-from hindcast.catalog.evaluation import GATES_CTE, OWNER_HITS_SQL, PR_HEAD_FILES_SQL, REQUEST_SQL, RULES_SQL, _TARGET_JOIN, _USER_RX
+from hindcast.catalog.evaluation import GATES_CTE, MENTIONS_SQL, OWNER_HITS_SQL, PR_HEAD_FILES_SQL, REQUEST_SQL, RULES_SQL, _TARGET_JOIN
 from hindcast.catalog.frames import ACTIVITY_SQL, COHORT_SQL
 from hindcast.catalog.registry import query
 from hindcast.functions import paths as P
@@ -247,10 +247,9 @@ def boundary_overrides(t: DriverTables) -> DataFrame:
 
 
 # --- functions over whole texts and paths -----------------------------------------------
-@query("mentions", f"""select doc_id, string_agg(name, ' ' order by pos) as names from (select doc_id, lower(name) as l, min(pos) as pos, arg_min(name, pos) as name from (
-    select doc_id, unnest(m) as name, generate_subscripts(m, 1) as pos from (select doc_id, regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])@({_USER_RX}/[A-Za-z0-9][A-Za-z0-9-]*|{_USER_RX})', 1) as m from documents)) group by all) group by doc_id""")
+@query("mentions", with_views(["pr_text"], f"select pr_id, string_agg(name, ' ' order by rank) as names from ({MENTIONS_SQL}) group by pr_id"))
 def mentions(t: DriverTables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.array_join(F.transform(X.mention_targets(F.col("text")), lambda m: m["name"]), " ").alias("names")).filter("names <> ''")
+    return t.pr_text.select("pr_id", F.array_join(F.transform(X.mention_targets(F.col("body")), lambda m: m["name"]), " ").alias("names")).filter("names <> ''")
 
 
 @query("gate_fields", with_views(["pull_requests", "pr_text", "users"], "select pr_id, missing_issue, missing_ai_disclosure, missing_provenance from gates", {"cohort": COHORT_SQL, "gates": GATES_CTE}))
