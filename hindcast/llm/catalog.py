@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.llm import mixing
+from hindcast.llm import bpe, mixing
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing,)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of all texts under the vocabulary for many languages."""
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe)}
 
 ORACLE: dict[str, str] = {}
 

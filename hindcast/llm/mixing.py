@@ -7,7 +7,8 @@ The cube method's flight moves the vector of fractional inclusion probabilities
 along the null space of those two constraints until every coordinate but two has
 become 0 or 1.  Sources are cut into blocks that fly on their own; what a block
 leaves open (two units at most) flies again with the rest of its source, until one
-block per source remains and a landing decides its last two units.
+block per source remains.  Its last units (``LAST``, and two of the flight) are the
+landing problem, solved by trying all choices.
 
 Rows are units: repeated doc_ids are mixed row by row.  Null text has size 0; null
 sources form one source, the last.  Empty sources get target 0; an empty table
@@ -31,6 +32,7 @@ from hindcast.llm.scratch import kept
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 BLOCK = 4096
+LAST = 12
 _NEAR = 1e-9
 
 
@@ -129,20 +131,20 @@ def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     x = x.copy()
     at = np.flatnonzero((x > _NEAR) & (x < 1 - _NEAR))
     if len(at):
-        choices = [np.array([(c >> i) & 1 for i in range(len(at))], float) for c in range(1 << len(at))]
-        scale = max(float(size.mean()), 1e-9)
-        miss = [abs(((c - x[at]) * size[at]).sum()) / scale + 0.01 * abs((c - x[at]).sum()) for c in choices]
-        x[at] = choices[int(np.argmin(miss))]
+        choices = (np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1) - x[at]
+        scale = max(float(size[at].mean()), 1e-9)
+        miss = np.abs(choices @ size[at]) / scale + 0.001 * np.abs(choices.sum(axis=1))
+        x[at] = np.rint(choices[int(np.argmin(miss))] + x[at])
     return x
 
 
 def _fly(last: bool, seed: int):
     def fly(group: pd.DataFrame) -> pd.DataFrame:
-        # Large units first: what stays open to the end, and so the miss of the landing, is small.
-        order = np.lexsort((_draws(group["doc_id"].fillna(-1).to_numpy(), seed), -group["size"].to_numpy()))
-        group = group.iloc[order]
+        group = group.iloc[np.lexsort((group["size"].to_numpy(), _draws(group["doc_id"].fillna(-1).to_numpy(), seed)))]
         x, size = group["x"].to_numpy(float), group["size"].to_numpy(float)
-        x = flight(x, size, _draws(group["doc_id"].fillna(-1).to_numpy(), seed + 1))
+        fliers = max(len(x) - LAST, 0) if last else len(x)
+        draw = _draws(group["doc_id"].fillna(-1).to_numpy(), seed + 1)
+        x = np.concatenate([flight(x[:fliers], size[:fliers], draw[:fliers]), x[fliers:]])
         return group.assign(x=landing(x, size) if last else x)[COLUMNS]
 
     return fly
