@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, mixing
+from hindcast.llm import bpe, labelled, mixing, quality, toxicity
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,25 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe)}
+def _predicted(scored: DataFrame, folds: int, held: int, least: float) -> DataFrame:
+    return scored.select("doc_id", labelled.held_out(folds, held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry quality scores of all documents."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"))
+    return _predicted(quality.scores(docs, model).drop("text"), quality.FOLDS, quality.HELD, quality.GOOD)
+
+
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive-unlabelled toxicity scores of all documents."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe, op5_quality_ranking, op10_toxicity_pu)}
 
 ORACLE: dict[str, str] = {}
 
