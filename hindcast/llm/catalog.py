@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, labelled, mixing, quality, toxicity
+from hindcast.llm import bpe, labelled, mixing, neardup, quality, toxicity
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.scores(docs, model).drop("text"), quality.FOLDS, quality.HELD, quality.GOOD)
 
 
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85 or more."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive-unlabelled toxicity scores of all documents."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -47,7 +52,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe, op5_quality_ranking, op10_toxicity_pu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe, op5_quality_ranking, op9_hyperminhash, op10_toxicity_pu)}
 
 ORACLE: dict[str, str] = {}
 
