@@ -102,6 +102,14 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
+def sequences(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run of word hashes."""
+    power, inverse = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], dtype=np.uint64, out=total[1:])
+    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+
+
 def of_text(before: np.ndarray) -> np.ndarray:
     """The text of each word, given the words before each text."""
     return np.repeat(np.arange(len(before) - 1), np.diff(before))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, labelled, mixing, neardup, quality, toxicity
+from hindcast.llm import bpe, labelled, lattice, mixing, neardup, ngrams, quality, toxicity
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal probabilities of all documents over the segmentations into existing pieces."""
+    import public_tokenizers
+
+    return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all texts under the vocabulary for many languages."""
     import public_tokenizers
@@ -40,6 +47,12 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.scores(docs, model).drop("text"), quality.FOLDS, quality.HELD, quality.GOOD)
 
 
+def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain rules and trusted-to-raw n-gram ratio of all documents."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return ngrams.judge(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85 or more."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
@@ -52,7 +65,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op4_byte_bpe, op5_quality_ranking, op9_hyperminhash, op10_toxicity_pu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op9_hyperminhash, op10_toxicity_pu)}
 
 ORACLE: dict[str, str] = {}
 
