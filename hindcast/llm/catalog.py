@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, labelled, lattice, mixing, neardup, ngrams, quality, toxicity
+from hindcast.llm import bpe, labelled, lattice, mixing, neardup, ngrams, quality, templates, toxicity
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the recurring lines that others had before them."""
+    return templates.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all texts under the vocabulary for many languages."""
     import public_tokenizers
@@ -65,7 +70,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op9_hyperminhash, op10_toxicity_pu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op9_hyperminhash, op10_toxicity_pu)}
 
 ORACLE: dict[str, str] = {}
 
