@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, labelled, lattice, mixing, neardup, ngrams, pseudonyms, quality, templates, toxicity
+from hindcast.llm import bpe, labelled, lattice, media, mixing, neardup, ngrams, pseudonyms, quality, templates, toxicity
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.judge(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of copies among pictures of all vectors and edited versions of some of them."""
+    return media.copies(media.pictures(_table(spark, sf_dir, "embeddings")))
+
+
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for what identifies people; a real run brings a secret key."""
     return pseudonyms.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), b"hindcast-demonstration-key")
@@ -75,7 +80,7 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op8_feistel_pseudonyms, op9_hyperminhash, op10_toxicity_pu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op7_image_copies, op8_feistel_pseudonyms, op9_hyperminhash, op10_toxicity_pu)}
 
 ORACLE: dict[str, str] = {}
 
