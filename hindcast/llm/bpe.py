@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from hindcast.llm import arrays
 
@@ -207,7 +208,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     kept_columns = [c for c in docs.columns if c not in ("ids", "starts", "ends")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept_columns]).schema
     for c in ("ids", "starts", "ends"):
-        schema = schema.add(c, "array<int>")
+        schema = schema.add(c, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared.value)
