@@ -35,7 +35,7 @@ from hindcast.llm import arrays, labelled
 from hindcast.llm.scratch import kept
 
 FOLDS, HELD = 10, 0
-ROUNDS = 2
+ROUNDS = 1
 BLOCK_BYTES = 24 << 20
 LINE_DISCOUNT = 0.75
 CLASSES = 6
@@ -68,61 +68,91 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, share - np.logaddexp.reduce(share)
 
 
+#: Words of so many bytes have probabilities that double precision holds; longer ones stay in log space.
+LINEAR = 40
+Arcs = list[tuple[int, int, np.ndarray, np.ndarray]]
+
+
 class Lattice:
     """All segmentations of words into pieces."""
 
     def __init__(self, pieces: list[bytes]):
-        self.longest = max(map(len, pieces))
         joined = np.frombuffer(b"".join(pieces), np.uint8)
         edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         key = arrays.hashes(joined, edge[:-1], edge[1:])
         self.order = np.argsort(key)
         self.keys = key[self.order]
         self.lengths = sorted({len(p) for p in pieces})
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece; this says so at once
+        self.maybe[key >> np.uint64(44)] = True
 
-    def arcs(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece of bytes [i, j) of each of the words (equal length, one per row), -1 where there is none."""
+    def arcs(self, words: np.ndarray) -> Arcs:
+        """(i, j, rows, pieces): in these of the words (equal length, one per row) bytes [i, j) are a piece."""
         n, width = words.shape
         flat = np.ascontiguousarray(words).reshape(-1)
-        base = np.arange(n) * width
-        found = {}
+        found = []
         for size in self.lengths:
             if size > width:
                 break
-            starts = (base[:, None] + np.arange(width - size + 1)).reshape(-1)
+            starts = (np.arange(n)[:, None] * width + np.arange(width - size + 1)).reshape(-1)
             key = arrays.hashes(flat, starts, starts + size)
+            hit = np.flatnonzero(self.maybe[key >> np.uint64(44)])
+            key = key[hit]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            piece = np.where(self.keys[at] == key, self.order[at], -1).reshape(n, -1)
-            for i in range(width - size + 1):
-                if (piece[:, i] >= 0).any():
-                    found[i, i + size] = piece[:, i]
+            true = self.keys[at] == key
+            hit, piece = hit[true], self.order[at[true]]
+            row, i = np.divmod(hit, width - size + 1)
+            order = np.argsort(i, kind="stable")
+            row, piece, i = row[order], piece[order], i[order]
+            edges = np.flatnonzero(np.diff(i)) + 1
+            found += [(int(f[0]), int(f[0]) + size, r, p) for f, r, p in zip(np.split(i, edges), np.split(row, edges), np.split(piece, edges)) if len(f)]
         return found
 
-    def forward(self, arcs: dict, n: int, width: int, logs: np.ndarray) -> np.ndarray:
-        """Log probability of every prefix of the words in each class, without the stop symbol.
+    def forward(self, arcs: Arcs, n: int, width: int, logs: np.ndarray) -> np.ndarray:
+        """Log probability of the words in each class, without the stop symbol.
 
         ``logs`` has a row for each piece and a column for each class.
         """
-        logs = np.append(logs, np.full((1, logs.shape[1]), -np.inf), axis=0)
-        alpha = np.full((width + 1, n, logs.shape[1]), -np.inf)
-        alpha[0] = 0.0
-        for i, j in sorted(arcs, key=lambda a: (a[1], a[0])):
-            np.logaddexp(alpha[j], alpha[i] + logs[arcs[i, j]], out=alpha[j])
-        return alpha
-
-    def expected(self, arcs: dict, n: int, width: int, logs: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+        return self._log(self._paths(arcs, n, width, logs, True)[width], width)
+
+    @staticmethod
+    def _log(x: np.ndarray, width: int) -> np.ndarray:
+        if width > LINEAR:
+            return x
+        with np.errstate(divide="ignore"):
+            return np.log(x)
+
+    @staticmethod
+    def _paths(arcs: Arcs, n: int, width: int, logs: np.ndarray, ahead: bool) -> np.ndarray:
+        """Weight of all paths from the start to each place (or from each place to the end)."""
+        linear = width <= LINEAR
+        weight = np.exp(logs) if linear else logs
+        paths = np.full((width + 1, n, logs.shape[1]), 0.0 if linear else -np.inf)
+        paths[0 if ahead else width] = 1.0 if linear else 0.0
+        for i, j, rows, piece in sorted(arcs, key=(lambda a: (a[1], a[0])) if ahead else (lambda a: (-a[0], a[1]))):
+            old, new = (i, j) if ahead else (j, i)
+            if linear:
+                paths[new][rows] += paths[old][rows] * weight[piece]
+            else:
+                paths[new][rows] = np.logaddexp(paths[new][rows], paths[old][rows] + weight[piece])
+        return paths
+
+    def expected(self, arcs: Arcs, n: int, width: int, logs: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
         """Add how often each piece is used, on average over the segmentations of the words of each class (``own``)."""
-        alpha = self.forward(arcs, n, width, logs)
-        logs = np.append(logs, np.full((1, logs.shape[1]), -np.inf), axis=0)
-        beta = np.full(alpha.shape, -np.inf)
-        beta[width] = 0.0
-        for i, j in sorted(arcs, key=lambda a: (-a[0], a[1])):
-            np.logaddexp(beta[i], beta[j] + logs[arcs[i, j]], out=beta[i])
-        for (i, j), piece in arcs.items():
-            use = np.flatnonzero(piece >= 0)
-            share = np.exp(alpha[i][use] + logs[piece[use]] + beta[j][use] - alpha[width][use]) * own[use]
-            for k in np.flatnonzero(own.any(axis=0)):
-                total[:, k] += np.bincount(piece[use], share[:, k], len(total))
+        alpha, beta = self._paths(arcs, n, width, logs, True), self._paths(arcs, n, width, logs, False)
+        linear = width <= LINEAR
+        weight = np.exp(logs) if linear else logs
+        shares = []
+        for i, j, rows, piece in arcs:
+            if linear:
+                share = alpha[i][rows] * weight[piece] * beta[j][rows] / alpha[width][rows]
+            else:
+                share = np.exp(alpha[i][rows] + weight[piece] + beta[j][rows] - alpha[width][rows])
+            shares.append(share * own[rows])
+        if arcs:
+            piece, share = np.concatenate([a[3] for a in arcs]), np.concatenate(shares)
+            for k in range(share.shape[1]):
+                total[:, k] += np.bincount(piece, share[:, k], len(total))
 
 
 def by_width(words: pa.Array, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -281,7 +311,7 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     v = np.array([one[f"v{k}"] for k in range(CLASSES)], float)
     logs, stop = np.repeat((first + np.log(0.8))[:, None], CLASSES, axis=1), np.full(CLASSES, np.log(0.2))
     for _ in range(rounds if v.sum() else 0):
-        use = _expected(counts.where("c > 0 and size = 1"), given, logs) + 1e-3
+        use = _expected(counts.where("c > 0 and size = 1"), given, logs, np.flatnonzero(v)) + 1e-3
         # A class leans on all classes where it has little to say.
         use = use + 50 * use.sum(axis=1, keepdims=True) / use.sum()
         words = v + 10
@@ -321,16 +351,17 @@ def _nothing(columns: str) -> list:
     return [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")]
 
 
-def _expected(words: DataFrame, given, logs: np.ndarray) -> np.ndarray:
+def _expected(words: DataFrame, given, logs: np.ndarray, used: np.ndarray) -> np.ndarray:
     """How often the training words of each class use each piece on average; one row per piece comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = None, np.zeros(logs.shape)
+        lattice, total, part = None, np.zeros(logs.shape), np.zeros((len(logs), len(used)))
         for batch in batches:
             lattice = lattice or Lattice(given.value)
-            own = np.stack([batch.column(f"c{k}").to_numpy() > 0 for k in range(CLASSES)], axis=1)
+            own = np.stack([batch.column(f"c{k}").to_numpy() > 0 for k in used], axis=1)
             for rows, text in by_width(batch.column("word")):
-                lattice.expected(lattice.arcs(text), *text.shape, logs, own[rows], total)
+                lattice.expected(lattice.arcs(text), *text.shape, logs[:, used], own[rows], part)
+        total[:, used] = part
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, k]) for k in range(CLASSES)]], ["piece", *[f"t{k}" for k in range(CLASSES)]])
 
@@ -344,6 +375,7 @@ def _expected(words: DataFrame, given, logs: np.ndarray) -> np.ndarray:
 def _valued(counts: DataFrame, given, logs: np.ndarray, stop: np.ndarray, model: dict) -> DataFrame:
     """word, c and logs: training count, and the log probability in each class (32-bit floats)."""
     shared = counts.sparkSession.sparkContext.broadcast(logs)
+    used = np.flatnonzero(model["own"] > 0) if model["own"].any() else np.array([CLASSES - 1])
     ending = stop - np.log1p(-np.exp(stop)) + model["rest"] + model["finer"]  # no empty words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,10 +384,10 @@ def _valued(counts: DataFrame, given, logs: np.ndarray, stop: np.ndarray, model:
             lattice = lattice or Lattice(given.value)
             c, word = batch.column("c").to_numpy(), batch.column("size").to_numpy() == 1
             own = np.stack([batch.column(f"c{k}").to_numpy() for k in range(CLASSES)], axis=1)
-            log = np.full(own.shape, -np.inf)
+            log = np.zeros(own.shape)  # classes without training texts have no share in the sum
             spelled = np.flatnonzero(word)
             for rows, text in by_width(batch.column("word").take(pa.array(spelled))):
-                log[spelled[rows]] = lattice.forward(lattice.arcs(text), *text.shape, shared.value)[-1]
+                log[np.ix_(spelled[rows], used)] = lattice.forward(lattice.arcs(text), *text.shape, shared.value[:, used])
             log += ending
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(own - model["discounts"], 0) / np.maximum(model["own"], 1)) + model["finer"]
