@@ -110,8 +110,9 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, least: float = LEAST) -> Data
     ``trusted_ids`` has one column doc_id; repeated and null ids are harmless.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The ids grow with the corpus: one plan, a merge join, at every size.
     known = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    shared = docs.sparkSession.sparkContext.broadcast(ratios(counts(slim.join(known, "doc_id", "left"))))  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(ratios(counts(slim.join(known.hint("merge"), "doc_id", "left"))))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
