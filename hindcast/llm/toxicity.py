@@ -10,7 +10,7 @@ training rows.
 Features are the words of the whole text (letters only, A-Z lower-cased), hashed to
 ``BUCKETS`` and counted up to ``OFTEN``; only words whose share of toxic documents differs from their
 share of unlabelled ones by ``APART`` standard errors carry weight.  At the end the scores are shifted so that TOXIC lies
-half-way between the edge of the upper pi of the unlabelled and the lowest toxic ones.  The fit uses a bounded sample: ``POSITIVE`` toxic and ``UNLABELLED`` other
+where the same risk, with zero-one loss, is least (in the widest gap of such places).  The fit uses a bounded sample: ``POSITIVE`` toxic and ``UNLABELLED`` other
 training documents drawn by hash.  Every document is scored.
 
 Null and empty texts have no words and get the score of the bias.  Without toxic
@@ -93,11 +93,21 @@ def fit(words: np.ndarray, bounds: np.ndarray, positive: np.ndarray, prior: floa
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
         theta -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     f = _pooled(theta[:-1], local, bounds)
-    low = np.quantile(f[p], 0.01)
-    edge = (min(np.quantile(f[u], 1 - prior), low) + low) / 2
+    edge = _edge(np.sort(f[p]), np.sort(f[u]), prior)
     return {"names": names, "weight": theta[:-1], "bias": float(np.log(TOXIC / (1 - TOXIC)) - edge)}
 
 
+def _edge(toxic: np.ndarray, other: np.ndarray, prior: float) -> float:
+    values = np.unique(np.concatenate([toxic, other]))
+    if len(values) < 2:
+        return float(values[0]) + 1.0
+    places = (values[1:] + values[:-1]) / 2
+    found = 1 - np.searchsorted(toxic, places) / len(toxic)
+    flagged = 1 - np.searchsorted(other, places) / len(other)
+    risk = prior * (1 - found) + np.maximum(flagged - prior * found, 0)
+    return float(places[np.argmax(np.where(risk <= risk.min() + 0.01 * prior, np.diff(values), -1.0))])
+
+
 def score(model: dict, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words, bounds = buckets(buf, offsets)
     names = np.append(model["names"], BUCKETS)
