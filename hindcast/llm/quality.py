@@ -88,6 +88,9 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([shares, np.stack(extra, axis=1)], axis=1).astype(np.float32)
 
 
+WIDTH = features(np.empty(0, np.uint8), np.zeros(1, np.int64)).shape[1]
+
+
 def fit(x: np.ndarray, mark: np.ndarray, pairs: int = 4096, steps: int = 400, decay: float = 1e-4, seed: int = 5) -> dict:
     """Weights of the strength and the curve from strength to score."""
     good, bad = np.flatnonzero(mark == 1), np.flatnonzero(mark == 0)
@@ -144,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_mark: int = PER_MARK) -> dict:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     got = slim.mapInArrow(numbers, "doc_id long, mark int, x binary").toPandas().sort_values(["doc_id", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
     model = fit(x, got["mark"].to_numpy())
     s = score(model, x) if len(got) else np.empty(0)
     model["scores"] = (s, got["mark"].to_numpy())
