@@ -9,6 +9,8 @@ from hindcast.catalog import frames as fr
 from hindcast.catalog.common import num, sql_ts, ts
 from hindcast.catalog.frames import ACTIVITY_SQL, COHORT_SQL
 from hindcast.catalog.registry import query
+from hindcast.functions import paths as P
+from hindcast.functions import text as X
 from hindcast.operators import compare, gates, metrics, truth
 from hindcast.plans import rankers
 from hindcast.session import stored
@@ -168,19 +170,6 @@ def stewards_rank(t: DriverTables) -> DataFrame:
     return fr.steward_routes(t, TOP_K).select("pr_id", "rank", "target_name", num("score", 7))
 
 
-@query("confidence_risk", with_views(["reviews", "comments", "users", "head_events", "pr_files"], """select pr_id, case when coalesce(s1 - coalesce(s2, 0), -1) >= 0.15 then 'high'
-    when coalesce(s1 - coalesce(s2, 0), -1) >= 0.05 then 'medium' else 'low' end as confidence,
-    case when s1 is null or not exists (select 1 from head_files f where f.pr_id = c.pr_id) then 'high' else 'medium' end as risk_without_gates
-    from cohort c left join (select pr_id, max(case when rank = 1 then score end) as s1, max(case when rank = 2 then score end) as s2 from stw group by pr_id) using (pr_id)""", STEWARDS_SQL))
-def confidence_risk(t: DriverTables) -> DataFrame:
-    routes = fr.steward_routes(t, 2)
-    conf = rankers.confidence(routes)
-    has_files = fr.head_files(t).select("pr_id").distinct().withColumn("f", F.lit(True))
-    return fr.cohort(t).select("pr_id").join(conf, "pr_id", "left").join(has_files, "pr_id", "left").select(
-        "pr_id", F.coalesce("confidence", F.lit("low")).alias("confidence"),
-        rankers.risk(F.lit(False), F.col("f").isNotNull(), F.col("confidence").isNotNull()).alias("risk_without_gates"))
-
-
 # --- truth --------------------------------------------------------------------------
 GAPS_SQL = "select repo_id, unnest(case when repo_id = 3 then ['reviews', 'tags'] else ['releases'] end) as resource from repos where repo_id >= 3"
 TRUTH_PARTS = {
@@ -314,6 +303,44 @@ GATES_CTE = f"select c.pr_id, c.repo_id, c.cutoff, not ({GATE_SQL['issue']}) as
 MERGED_CTE = "select g.*, coalesce(p.merged_at <= g.cutoff, false) as merged from gates g join pull_requests p using (pr_id)"
 
 
+RISK_SQL = {
+    **STEWARDS_SQL, "gates": GATES_CTE,
+    "risk": """select c.pr_id, s1, s2, g.missing_issue, g.missing_ai_disclosure, g.missing_provenance, s1 is not null as named,
+        case when s1 is null or not exists (select 1 from head_files f where f.pr_id = c.pr_id) or g.missing_issue or g.missing_ai_disclosure or g.missing_provenance
+        then 'high' else 'medium' end as risk from cohort c join gates g using (pr_id)
+        left join (select pr_id, max(case when rank = 1 then score end) as s1, max(case when rank = 2 then score end) as s2 from stw group by pr_id) using (pr_id)""",
+}
+RISK_VIEWS = ["reviews", "comments", "users", "head_events", "pr_files", "pr_text"]
+
+
+def _risks(t: DriverTables) -> DataFrame:
+    conf = rankers.confidence(fr.steward_routes(t, 2))
+    has_files = fr.head_files(t).select("pr_id").distinct().withColumn("f", F.lit(True))
+    fields = ["missing_issue", "missing_ai_disclosure", "missing_provenance"]
+    rows = fr.gates_merged(t).select("pr_id", *fields).join(conf, "pr_id", "left").join(has_files, "pr_id", "left")
+    missing = F.col(fields[0]) | F.col(fields[1]) | F.col(fields[2])
+    named = F.col("confidence").isNotNull()
+    return rows.select("pr_id", *fields, named.alias("named"), F.coalesce("confidence", F.lit("low")).alias("confidence"), rankers.risk(missing, F.col("f").isNotNull(), named).alias("risk"))
+
+
+@query("confidence_risk", with_views(RISK_VIEWS, """select pr_id, case when coalesce(s1 - coalesce(s2, 0), -1) >= 0.15 then 'high'
+    when coalesce(s1 - coalesce(s2, 0), -1) >= 0.05 then 'medium' else 'low' end as confidence, risk from risk""", RISK_SQL))
+def confidence_risk(t: DriverTables) -> DataFrame:
+    return _risks(t).select("pr_id", "confidence", "risk")
+
+
+@query("label_suggestions", with_views(RISK_VIEWS, """select pr_id, concat_ws(',', case when missing_issue then 'needs-issue-link' end, case when missing_ai_disclosure then 'needs-ai-disclosure' end,
+    case when missing_provenance then 'needs-provenance' end, case when risk = 'high' then 'routed-high-risk' end, case when named then 'suggested-steward-review' end,
+    (select string_agg(concat('routed-boundary:', b), ',' order by lower(b), b) from (select distinct case when contains(path, '/') then split_part(path, '/', 1) else '__root__' end as b from head_files f where f.pr_id = risk.pr_id))) as labels
+    from risk""", RISK_SQL))
+def label_suggestions(t: DriverTables) -> DataFrame:
+    folders = fr.head_files(t).groupBy("pr_id").agg(F.collect_set(F.regexp_replace(P.boundary_id(F.col("path")), "^dir:", "")).alias("b"))
+    rows = _risks(t).join(folders, "pr_id", "left")
+    labels = rankers.suggest_labels(
+        F.col("missing_issue"), F.col("missing_ai_disclosure"), F.col("missing_provenance"), F.col("risk"), F.col("named"), F.coalesce("b", F.array().cast("array<string>")))
+    return rows.select("pr_id", F.array_join(labels, ",").alias("labels"))
+
+
 def _field_sql(f: str) -> str:
     return (f"select repo_id, '{f}' as field, count(*) as n, count(*) filter (missing_{f}) as missing_n, count(*) filter (not missing_{f}) as present_n, "
             f"round(avg(missing_{f}::int), 8) as missing_rate, round(avg(merged::int) filter (missing_{f}), 8) as merged_rate_missing, "
@@ -340,7 +367,8 @@ _QUEUE_SQL = {
     round(avg(ttfr), 4) as ttfr_seconds_mean, round(avg(ttfc), 4) as ttfc_seconds_mean from cohort c left join first f using (pr_id)
     left join (select distinct pr_id from men where contains(name, '/')) x on x.pr_id = c.pr_id group by all""", _QUEUE_SQL))
 def queue_by_risk(t: DriverTables) -> DataFrame:
-    teams = rankers.mentions(t.pr_text, 1000).filter("target_type = 'team'").select("pr_id").distinct().withColumn("risk", F.lit("low"))
+    team = F.exists(X.mention_targets(F.col("body")), lambda m: m["type"] == "team")
+    teams = t.pr_text.filter(team).select("pr_id").distinct().withColumn("risk", F.lit("low"))
     times = metrics.queue_times(fr.cohort(t), t.reviews, t.comments, t.users).join(teams, "pr_id", "left").withColumn(
         "risk", F.coalesce("risk", F.lit("HIGH")))
     return metrics.queue_by_risk(times, ["repo_id"]).select(

@@ -231,8 +231,8 @@ def footprint_topn(t: DriverTables) -> DataFrame:
 def touched_prs(t: DriverTables) -> DataFrame:
     pairs = candidate_pairs(t).filter("user_id is not null")
     rows = fr.activity(t).select("repo_id", "user_id", "pr_id", "ts").unionByName(_authored(t))
-    met = pairs.select("repo_id", "user_id", "cutoff", "login", F.col("pr_id").alias("for_pr")).join(rows, ["repo_id", "user_id"]).filter(
-        "ts <= cutoff and ts >= cutoff - interval '180' day")
+    asks = pairs.select("repo_id", "user_id", "cutoff", "login", F.col("pr_id").alias("for_pr"))
+    met = asof.within_days(asks, rows, ["repo_id", "user_id"], "cutoff", "ts", 180)
     return met.groupBy(F.col("for_pr").alias("pr_id"), "login").agg(F.count_distinct("pr_id").alias("touched")).select("pr_id", "login", "touched")
 
 
@@ -263,7 +263,7 @@ def pair_social(t: DriverTables) -> DataFrame:
 _KEYS_SQL = """select distinct key from (select concat('pr.surface.status_ratio.', status) as key from landed_files union all select concat('pr.surface.touches_', split_part(path, '/', 1)) from landed_files
     union all select concat('candidate.activity.reviews_', additions::varchar, '_180d') from landed_files union all select concat('strange.', head_sha) from landed_files union all select 'pr.gates.completeness_score' from landed_files
     union all select concat('pair.affinity.k', deletions::varchar) from landed_files union all select concat('automation.has_', status) from landed_files)"""
-_SPEC_VALUES = ", ".join("('{}', '{}', '{}')".format(*(line.split()[i] for i in (0, 3, 4))) for line in reg.FEATURES.strip().splitlines())
+_SPEC_VALUES = ", ".join("('{}', '{}', '{}')".format(*(spec[i] for i in (0, 3, 4))) for spec in reg.FEATURES)
 _CLASS_SQL = {
     "keys": _KEYS_SQL, "specs": f"select * from (values {_SPEC_VALUES}) s(name, granularity, role)",
     "cls": """select k.key, coalesce(e.name, p.name) as spec, coalesce(e.granularity, p.granularity) as granularity, coalesce(e.role, p.role) as role from keys k left join (select * from specs where not contains(name, '*')) e on e.name = k.key
@@ -287,8 +287,8 @@ def feature_registry_coverage(t: DriverTables) -> DataFrame:
 def _task_case() -> str:
     arms = []
     for task, roles, grans, prefixes in reg.TASKS:
-        pre = " or ".join(f"starts_with(key, '{p}')" for p in prefixes.split())
-        quoted = lambda s: ", ".join(f"'{x}'" for x in s.split())
+        pre = " or ".join(f"starts_with(key, '{p}')" for p in prefixes)
+        quoted = lambda s: ", ".join(f"'{x}'" for x in s)
         arms.append(f"select '{task}' as task_id, key, case when not ({pre}) then 'prefix_not_allowed' when role not in ({quoted(roles)}) then 'role_not_allowed' "
                     f"when granularity not in ({quoted(grans)}) then 'granularity_not_allowed' end as reason from cls where spec is not null")
     return " union all ".join(arms)

@@ -126,3 +126,16 @@ def require_complete(snapshots: DataFrame) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def within_days(asks: DataFrame, rows: DataFrame, keys: list[str], at: str, ts: str, days: int) -> DataFrame:
+    """Join on ``keys`` the rows whose ``ts`` lies in the ``days`` up to and including ``at``.
+
+    Time is cut into blocks of that length: a row is in one block, an asked time looks
+    at its own and the one before.  At most about twice the wanted rows meet, however long the
+    history of a key is.  Columns other than the keys must have different names.
+    """
+    block = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(days * 86_400_000_000))
+    own = asks.withColumn("_blk", F.explode(F.array(block(at), block(at) - 1)))
+    met = own.join(rows.withColumn("_blk", block(ts)), [*keys, "_blk"]).drop("_blk")
+    return met.filter((F.col(ts) <= F.col(at)) & (F.col(ts) >= F.col(at) - F.expr(f"interval '{days}' day")))

@@ -29,7 +29,7 @@ def ownership_rules(texts: DataFrame) -> DataFrame:
         .select(
             "repo_id", "base_sha", F.col("path").alias("file"), (F.col("n") + 1).cast("bigint").alias("line"),
             F.col("parts")[0].alias("pattern"),
-            X.mention_targets(F.array_join(F.slice("parts", 2, 1_000_000), " ")).alias("targets"),
+            X.mention_targets(F.array_join(F.slice("parts", F.lit(2), F.size("parts")), " ")).alias("targets"),
         )
         .filter(F.size("targets") > 0)
     )

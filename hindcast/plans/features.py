@@ -9,6 +9,7 @@ from hindcast.functions import paths as P
 from hindcast.functions import text as X
 from hindcast.functions.stats import grouped_entropy, response_bucket, safe_ratio, seconds_between, zscore
 from hindcast.operators import activity as act
+from hindcast.operators.asof import within_days
 
 FOOTPRINT_N = 12
 WINDOWS = [7, 30, 90, 180]
@@ -279,10 +280,10 @@ def touched_files(asks: DataFrame, acted: DataFrame, authored: DataFrame, heads:
     """Files (at the head of the cutoff) of every pull request a user touched in the window."""
     keys = ["repo_id", "user_id"]
     touches = acted.select(*keys, "pr_id", "ts").unionByName(authored.select(*keys, "pr_id", "ts"))
-    touched = (
-        asks.select(*keys, "cutoff").distinct().join(touches, keys)
-        .filter((F.col("ts") <= F.col("cutoff")) & (F.col("ts") >= F.col("cutoff") - F.expr(f"interval '{days}' day")))
-        .select(*keys, "cutoff", "pr_id").distinct())
+    # The first and the last touch of a day say whether the day's touches reach into a window.
+    touches = touches.groupBy(*keys, "pr_id", F.date_trunc("DAY", "ts")).agg(F.min("ts").alias("ts"), F.max("ts").alias("late")).select(
+        *keys, "pr_id", F.explode(F.array_distinct(F.array("ts", "late"))).alias("ts"))
+    touched = within_days(asks.select(*keys, "cutoff").distinct(), touches, keys, "cutoff", "ts", days).select(*keys, "cutoff", "pr_id").distinct()
     head = touched.join(heads.select("pr_id", "head_sha", "start_ts", "start_event_id"), "pr_id").filter(F.col("start_ts") <= F.col("cutoff")).groupBy(
         *keys, "cutoff", "pr_id").agg(F.max_by("head_sha", F.struct("start_ts", "start_event_id")).alias("head_sha"))
     return head.join(files.select("pr_id", "head_sha", "path"), ["pr_id", "head_sha"]).select(*keys, "cutoff", "path")
@@ -309,8 +310,7 @@ def pair_social(pairs: DataFrame, acted: DataFrame, prs: DataFrame, days: int =
     owned = acted.select("repo_id", "user_id", "ts", "kind", F.col("pr_id").alias("on_pr")).join(
         prs.select(F.col("pr_id").alias("on_pr"), "author_id", F.col("created_at").alias("born")), "on_pr")
     at = F.col("cutoff")
-    met = pairs.join(owned, ["repo_id", "author_id", "user_id"]).filter(
-        (F.col("ts") <= at) & (F.col("born") <= at) & (F.col("born") >= at - F.expr(f"interval '{days}' day")))
+    met = within_days(pairs, owned, ["repo_id", "author_id", "user_id"], "cutoff", "born", days).filter(F.col("ts") <= at)
     ids = ["pr_id", "login"]
     per_pr = met.groupBy(*ids, "on_pr", "born").agg(
         F.count(F.when(F.col("kind") == "review_submitted", 1)).alias("r"), F.count(F.when(F.col("kind") != "review_submitted", 1)).alias("c"),

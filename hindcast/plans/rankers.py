@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as X
 from hindcast.functions.stats import decayed
+from hindcast.operators.asof import within_days
 from hindcast.operators.toplist import windowed_top, windowed_totals
 
 # --- fixed values -----------------------------------------------------------------
@@ -127,9 +128,10 @@ def stewards(cohort: DataFrame, activity: DataFrame, event_paths: DataFrame, coh
     best = windowed_top(cohort, grown, ["repo_id"], "login", k + 1, DECAY_DAYS * _DAY, bucket_seconds).withColumnRenamed("total", "grown")
 
     shared = (
-        cohort_paths.select("repo_id", "pr_id", "cutoff", "path")
-        .join(event_paths.filter(human).select("repo_id", "login", "ts", "kind", "row_id", "path"), ["repo_id", "path"])
-        .filter((F.col("ts") <= F.col("cutoff")) & (F.col("ts") >= F.col("cutoff") - F.expr(f"interval '{DECAY_DAYS}' day")))
+        within_days(
+            cohort_paths.select("repo_id", "pr_id", "cutoff", "path"),
+            event_paths.filter(human).select("repo_id", "login", "ts", "kind", "row_id", "path"),
+            ["repo_id", "path"], "cutoff", "ts", DECAY_DAYS)
         .select("repo_id", "pr_id", "cutoff", "login", "ts", "kind", "row_id").distinct()
         .groupBy("repo_id", "pr_id", "cutoff", "login")
         .agg(F.sum(decayed(weight, (micros(F.col("cutoff")) - micros(F.col("ts"))) / (_DAY * 1e6), HALF_LIFE_DAYS)).alias("overlap"))
