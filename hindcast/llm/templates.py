@@ -10,7 +10,8 @@ others are dropped.
 Lines travel as hashes.  Equal lines are counted by partial aggregation before anything
 else; only leaves with several different lines need their tokens, and only one
 occurrence of each such line sends them.  Leaves with more than ``BLOCK`` different lines
-are compared in lots: lines that agree on one of ``TURNS`` sets of positions meet.
+are compared in lots: lines that agree on one of ``TURNS`` sets of positions meet.  Texts
+meet line numbers by merge joins at every size, as both grow with the corpus.
 
 Lines of fewer than ``TOKENS`` tokens stay.  Null texts count as empty.  Rows of one
 doc_id are one document; rows without a doc_id pass unchanged.  An empty table gives an
@@ -96,7 +97,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(tokens, pa.binary())], ["leaf", "line", "tokens"])
 
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("number", "leaf", "line")).alias("asked"))  # lines of one text
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("merge"), "doc_id")
     return slim.mapInArrow(run, "leaf long, line long, tokens binary").dropDuplicates(["leaf", "line"])
 
 
@@ -186,7 +187,7 @@ def dedup(docs: DataFrame, least: int = DOCS, text_col: str = "text") -> DataFra
         raise ValueError("the text column is called text")
     gone = drops(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("number", "line")).alias("__gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__doc")).join(gone.withColumnRenamed("doc_id", "__of"), F.col("__doc") == F.col("__of"), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__doc")).join(gone.withColumnRenamed("doc_id", "__of").hint("merge"), F.col("__doc") == F.col("__of"), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__gone")
     schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("n_lines", "long").add("n_dropped", "long")
 
