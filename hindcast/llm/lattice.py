@@ -340,7 +340,8 @@ def _model(one: dict, ends: np.ndarray) -> dict:
         share = np.log(ends / ends.sum()) if ends.sum() else np.append(np.full(CLASSES - 1, -np.inf), 0.0)
         finer = np.log((units - int(one["line_uses"]) + LINE_DISCOUNT * int(one["lines"])) / units) if units else 0.0
         last = np.log(np.maximum(ends - discounts, 0) / np.maximum(own, 1)) + finer
-    return {"n": n, "v": int(one["v"]) + bool(ends.sum()), "ends": int(ends.sum()), "own": own, "discounts": discounts, "rest": rest, "share": share, "units": units, "finer": finer, "last": last}
+    used = np.flatnonzero(own > 0) if own.any() else np.array([CLASSES - 1])
+    return {"used": used, "n": n, "v": int(one["v"]) + bool(ends.sum()), "ends": int(ends.sum()), "own": own, "discounts": discounts, "rest": rest, "share": share, "units": units, "finer": finer, "last": last}
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -373,9 +374,9 @@ def _expected(words: DataFrame, given, logs: np.ndarray, used: np.ndarray) -> np
 
 
 def _valued(counts: DataFrame, given, logs: np.ndarray, stop: np.ndarray, model: dict) -> DataFrame:
-    """word, c and logs: training count, and the log probability in each class (32-bit floats)."""
+    """word, c and logs: training count, and the log probability in each class that has training texts (32-bit floats)."""
     shared = counts.sparkSession.sparkContext.broadcast(logs)
-    used = np.flatnonzero(model["own"] > 0) if model["own"].any() else np.array([CLASSES - 1])
+    used = model["used"]
     ending = stop - np.log1p(-np.exp(stop)) + model["rest"] + model["finer"]  # no empty words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,13 +394,14 @@ def _valued(counts: DataFrame, given, logs: np.ndarray, stop: np.ndarray, model:
                 whole = np.log(np.maximum(own - model["discounts"], 0) / np.maximum(model["own"], 1)) + model["finer"]
                 log[word] = np.logaddexp(log[word], whole[word])
                 log[~word] = np.log(np.where(c > 1, c - LINE_DISCOUNT, 0) / max(model["units"], 1))[~word, None]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array([x.tobytes() for x in log.astype(np.float32)], pa.binary())], ["word", "c", "logs"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array([x.tobytes() for x in log[:, used].astype(np.float32)], pa.binary())], ["word", "c", "logs"])
 
     return counts.mapInArrow(run, "word binary, c long, logs binary")
 
 
 def _scored(model: dict):
-    n, v, ends = model["n"], model["v"], model["ends"]
+    n, v, ends, width = model["n"], model["v"], model["ends"], len(model["used"])
+    share, last = model["share"][model["used"]], model["last"][model["used"]]
 
     def plain(c):
         return np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
@@ -418,24 +420,24 @@ def _scored(model: dict):
                     block, table, lists = of[a], None, []
                 rows = len(part) - part.column("place").null_count
                 if rows:
-                    logs = np.frombuffer(b"".join(part.column("logs").slice(0, rows).to_pylist()), np.float32).reshape(rows, CLASSES)
+                    logs = np.frombuffer(b"".join(part.column("logs").slice(0, rows).to_pylist()), np.float32).reshape(rows, width)
                     lists.append((part.column("c").slice(0, rows).to_numpy(), logs))
                 texts = part.slice(rows)
                 if not texts.num_rows:
                     continue
                 if table is None:
                     counts = np.concatenate([np.empty(0, np.int64), *[x[0] for x in lists]])
-                    logs = np.concatenate([np.empty((0, CLASSES), np.float32), *[x[1] for x in lists], np.full((1, CLASSES), -np.inf, np.float32)])
+                    logs = np.concatenate([np.empty((0, width), np.float32), *[x[1] for x in lists], np.full((1, width), -np.inf, np.float32)])
                     table, lists = (counts > 0, plain(counts), logs), []
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for words, lines in zip(texts.column("words"), texts.column("lines")):
                     place = unpack(np.frombuffer(words.as_buffer(), np.uint8))
                     line, wide = unpack(np.frombuffer(lines.as_buffer(), np.uint8)).reshape(-1, 2).T
                     edge = np.concatenate([[0], np.cumsum(wide)])
-                    total = np.concatenate([np.zeros((1, CLASSES)), np.cumsum(table[2][place], axis=0, dtype=np.float64)])
+                    total = np.concatenate([np.zeros((1, width)), np.cumsum(table[2][place], axis=0, dtype=np.float64)])
                     paths = total[edge[1:]] - total[edge[:-1]]
                     by_class = np.logaddexp(paths, table[2][line - 1].astype(np.float64)).sum(axis=0)
-                    value = np.logaddexp.reduce(model["share"] + by_class + model["last"]) if ends else by_class[-1]
+                    value = np.logaddexp.reduce(share + by_class + last) if ends else by_class[-1]
                     for x, made in zip((len(place) + 1, int(table[0][place].sum()) + (ends > 0), float(table[1][place].sum() + plain(ends)) if n else 0.0, float(value / LOG10)), out):
                         made.append(x)
                 made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
