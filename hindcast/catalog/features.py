@@ -10,12 +10,14 @@ from hindcast.catalog.common import num
 from hindcast.catalog.evaluation import GATES_CTE, MENTIONS_SQL, OWNER_HITS_SQL, PR_HEAD_FILES_SQL, REQUEST_SQL, RULES_SQL, _TARGET_JOIN, _USER_RX
 from hindcast.catalog.frames import ACTIVITY_SQL, COHORT_SQL
 from hindcast.catalog.registry import query
+from hindcast.catalog.snapshots import RECENT_SQL, recent_activity_rows
 from hindcast.functions import paths as P
 from hindcast.functions import text as X
 from hindcast.operators import activity as act
 from hindcast.operators import asof, intervals
 from hindcast.plans import features as ft
 from hindcast.plans import registry as reg
+from hindcast.session import stored
 from hindcast.sources.binding import COMMENT_BODIES, DriverTables, with_views
 
 _CH = "case when changes <> 0 then changes else additions + deletions end"
@@ -135,9 +137,10 @@ POOL_SQL = {
         {_TARGET_JOIN} where coalesce(u.login, tm.slug) is not null union select distinct pr_id, ttype, target from oh""",
     "ment": f"select distinct pr_id, unnest(regexp_extract_all(concat(title, chr(10), body), '(?:^|[^A-Za-z0-9_])@({_USER_RX})', 1)) as login from pr_text",
     "memb": "select distinct n.pr_id, m.member as login from (select distinct pr_id, lower(name) as k from named where ttype = 'team') n join team_roster m on lower(m.team_key) in (n.k, case when contains(n.k, '/') then split_part(n.k, '/', 2) else concat('team:', n.k) end)",
-    "pool": "select x.pr_id, x.login from (select pr_id, name as login from named where ttype = 'user' union select pr_id, login from ment union select pr_id, login from memb) x join cohort c using (pr_id) where x.login <> c.author_login",
+    "activity": ACTIVITY_SQL, "recent": f"select distinct pr_id, login from ({RECENT_SQL})",
+    "pool": "select x.pr_id, x.login from (select pr_id, name as login from named where ttype = 'user' union select pr_id, login from ment union select pr_id, login from memb union select pr_id, login from recent) x join cohort c using (pr_id) where x.login <> c.author_login",
 }
-POOL_VIEWS = ["pull_requests", "users", "head_events", "pr_files", "ownership_lines", "request_events", "teams", "pr_text", "team_roster"]
+POOL_VIEWS = ["reviews", "comments", "pull_requests", "users", "head_events", "pr_files", "ownership_lines", "request_events", "teams", "pr_text", "team_roster"]
 
 
 def pool(t: DriverTables) -> DataFrame:
@@ -145,7 +148,8 @@ def pool(t: DriverTables) -> DataFrame:
     asked = asof.request_targets(active, t.users, t.teams).select("pr_id", "target_type", "target_name")
     owners = fr.owner_hits(t).select("pr_id", "target_type", "target_name")
     mentioned = t.pr_text.select("pr_id", F.explode(X.mentioned_users(F.concat_ws("\n", "title", "body"))).alias("login"))
-    return ft.candidate_pool(asked, mentioned, None, owners, t.team_roster, fr.cohort(t))
+    recent = recent_activity_rows(t).select("pr_id", "login").distinct()
+    return ft.candidate_pool(asked, mentioned, recent, owners, t.team_roster, fr.cohort(t))
 
 
 @query("candidate_pool", with_views(POOL_VIEWS, "select pr_id, login from pool", POOL_SQL))
@@ -154,18 +158,13 @@ def candidate_pool(t: DriverTables) -> DataFrame:
 
 
 def candidate_pairs(t: DriverTables) -> DataFrame:
-    """Pairs for the candidate features: people asked to review or mentioned by login."""
-    active = asof.active_at(fr.bare_cohort(t).select("pr_id", "cutoff"), fr.requests(t), ["pr_id"])
-    asked = asof.request_targets(active, t.users, t.teams).filter("target_type = 'user'").select("pr_id", F.col("target_name").alias("login"))
-    mentioned = t.pr_text.select("pr_id", F.explode(X.mentioned_users(F.concat_ws("\n", "title", "body"))).alias("login"))
-    rows = asked.unionByName(mentioned).distinct()
-    return ft.resolve_logins(rows.join(fr.bare_cohort(t).select("pr_id", "repo_id", "cutoff", "author_id"), "pr_id"), t.users)
+    """Pairs for the candidate features: the whole pool.  Several features read it, so it is stored once."""
+    rows = pool(t).join(fr.bare_cohort(t).select("pr_id", "repo_id", "cutoff", "author_id"), "pr_id")
+    return stored(ft.resolve_logins(rows, t.users))
 
 
-PAIRS_SQL = {**{k: POOL_SQL[k] for k in ("cohort", "req", "ment")}, "activity": ACTIVITY_SQL,
-    "pr0": f"select distinct c.pr_id, u.login from cohort c join req r on r.pr_id = c.pr_id and r.op = 'add' and r.occurred_at <= c.cutoff and (r.end_ts is null or c.cutoff < r.end_ts) join users u on reviewer_type = 'user' and u.user_id = reviewer_id and u.type <> 'Bot' union select pr_id, login from ment",
-    "pairs": "select p.pr_id, p.login, c.repo_id, c.cutoff, c.author_id, u.user_id, u.type from pr0 p join cohort c using (pr_id) left join users u on u.login = lower(p.login)"}
-PAIR_VIEWS = ["reviews", "comments", "users", "request_events", "pr_text"]
+PAIRS_SQL = {**POOL_SQL, "pairs": "select p.pr_id, p.login, c.repo_id, c.cutoff, c.author_id, u.user_id, u.type from pool p join cohort c using (pr_id) left join (select lower(login) as l, min(user_id) as user_id, arg_min(type, user_id) as type from users group by 1) u on u.l = lower(p.login)"}
+PAIR_VIEWS = POOL_VIEWS
 
 
 def _authored(t: DriverTables) -> DataFrame:
@@ -175,8 +174,10 @@ def _authored(t: DriverTables) -> DataFrame:
 @query("candidate_activity", with_views(PAIR_VIEWS, """select p.pr_id, p.login, coalesce(p.type = 'Bot', false) or suffix(lower(p.login), '[bot]') as is_bot,
     count(a.ts) filter (a.ts >= p.cutoff - interval '7' day) as events_7d, count(a.ts) filter (a.ts >= p.cutoff - interval '30' day) as events_30d,
     count(a.ts) filter (a.ts >= p.cutoff - interval '180' day and a.kind = 'review_submitted') as reviews_180d, count(a.ts) filter (a.ts >= p.cutoff - interval '180' day and a.kind <> 'review_submitted') as comments_180d,
-    epoch(p.cutoff - max(a.ts))::double as last_seen_seconds, round(epoch(p.cutoff - min(a.ts)) / 86400.0::double, 8) as account_age_days, coalesce(any_value(l.n), 0) as open_reviews
+    epoch(p.cutoff - max(a.ts))::double as last_seen_seconds, round(epoch(p.cutoff - any_value(o.first_ts)) / 86400.0::double, 8) as account_age_days, coalesce(any_value(l.n), 0) as open_reviews
     from pairs p left join activity a on a.repo_id = p.repo_id and a.user_id = p.user_id and a.ts <= p.cutoff
+    left join (select repo_id, user_id, min(ts) as first_ts from (select repo_id, user_id, ts from activity union all select repo_id, author_id, created_at from pull_requests) group by all) o
+      on o.repo_id = p.repo_id and o.user_id = p.user_id and o.first_ts <= p.cutoff
     left join (select p.pr_id, p.login, count(distinct r.pr_id) as n from pairs p join req r on r.repo_id = p.repo_id and r.reviewer_id = p.user_id and r.reviewer_type = 'user' and r.op = 'add' and r.occurred_at <= p.cutoff and (r.end_ts is null or p.cutoff < r.end_ts) group by all) l
       on l.pr_id = p.pr_id and l.login = p.login group by p.pr_id, p.login, p.type, p.cutoff""", PAIRS_SQL))
 def candidate_activity(t: DriverTables) -> DataFrame:
@@ -212,17 +213,17 @@ TOUCH_SQL = {**PAIRS_SQL, "touch": """select distinct p.repo_id, p.user_id, p.cu
     "tf": f"select t.repo_id, t.user_id, t.cutoff, {_BND} as b, {_DEPTH(3)} as d from th t join pr_files f on f.pr_id = t.pr_id and f.head_sha = t.head_sha",
     "fb": f"select repo_id, user_id, cutoff, count(*) as k, {_ENT} as h, max(p) as top from (select *, n / sum(n) over (partition by repo_id, user_id, cutoff) as p from (select repo_id, user_id, cutoff, b, count(*) as n from tf group by all)) group by all",
     "fd": "select * from (select *, n / sum(n) over (partition by repo_id, user_id, cutoff) as share, row_number() over (partition by repo_id, user_id, cutoff order by n desc, lower(d), d) as rn from (select repo_id, user_id, cutoff, d, count(*) as n from tf group by all)) where rn <= 12"}
-TOUCH_VIEWS = [*PAIR_VIEWS, "head_events", "pr_files"]
+TOUCH_VIEWS = PAIR_VIEWS
 
 
-def _touched(t: DriverTables) -> DataFrame:
-    return ft.touched_files(candidate_pairs(t).filter("user_id is not null"), fr.activity(t), _authored(t), fr.heads(t), t.pr_files)
+def _touched(t: DriverTables, pairs: DataFrame) -> DataFrame:
+    return ft.touched_files(pairs.filter("user_id is not null"), fr.activity(t), _authored(t), fr.heads(t), t.pr_files)
 
 
 @query("footprint_topn", with_views(TOUCH_VIEWS, "select p.pr_id, p.login, f.k as distinct_keys, round(f.h, 8) as entropy, round(f.top, 8) as top_share from pairs p join fb f on f.repo_id = p.repo_id and f.user_id = p.user_id and f.cutoff = p.cutoff", TOUCH_SQL))
 def footprint_topn(t: DriverTables) -> DataFrame:
-    f = ft.footprint(_touched(t), P.boundary_id(F.col("path")))
     pairs = candidate_pairs(t)
+    f = ft.footprint(_touched(t, pairs), P.boundary_id(F.col("path")))
     return pairs.join(f, ["repo_id", "user_id", "cutoff"]).select(
         "pr_id", "login", "distinct_keys", num("entropy"), num(F.array_max(F.map_values("scores"))).alias("top_share"))
 
@@ -246,7 +247,8 @@ def pair_affinity(t: DriverTables) -> DataFrame:
     key = P.directory(F.col("path"), 3)
     counts = fr.head_files(t).groupBy("pr_id", key.alias("key")).agg(F.count("*").alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("pr_id"))).drop("n")
-    f = ft.pair_affinity(candidate_pairs(t), shares, ft.footprint(_touched(t), key))
+    pairs = candidate_pairs(t)
+    f = ft.pair_affinity(pairs, shares, ft.footprint(_touched(t, pairs), key))
     return f.select("pr_id", "login", F.col("overlap").alias("dir_overlap"), num("overlap_share").alias("dir_overlap_share"), num("dot").alias("dir_dot"))
 
 

@@ -144,7 +144,7 @@ def export_truth_intent(t: DriverTables) -> DataFrame:
     return truth.requested_after_cutoff(at_creation, fr.requests(t), t.users, t.teams, 3600).select("pr_id", ts("requested_at"), "target_type", "target_name")
 
 
-_RECENT_SQL = """select pr_id, kind, login, ts from (select c.pr_id, a.*, row_number() over (partition by c.pr_id order by a.ts desc, a.login, a.kind) as rn from (select pr_id, repo_id, cutoff from cohort) c
+RECENT_SQL = """select pr_id, kind, login, ts from (select c.pr_id, a.*, row_number() over (partition by c.pr_id order by a.ts desc, a.login, a.kind) as rn from (select pr_id, repo_id, cutoff from cohort) c
     join (select repo_id, login, ts, case when kind = 'review_submitted' then 'review' else 'comment' end as kind from activity where type <> 'Bot') a
     on a.repo_id = c.repo_id and a.ts <= c.cutoff and a.ts >= c.cutoff - interval '30' day) where rn <= 50"""
 
@@ -155,7 +155,7 @@ def recent_activity_rows(t: DriverTables, limit: int = 50) -> DataFrame:
     return act.most_recent(fr.bare_cohort(t).select("repo_id", "pr_id", "cutoff"), acts, "repo_id", 30, limit, "ts", ["login", "kind"])
 
 
-@query("recent_activity", with_views(["reviews", "comments", "users"], f"select pr_id, count(*) as n, count(distinct login) as actors, {sql_ts('min(ts)')} as oldest, min(login) as first_login, count(*) filter (kind = 'review') as reviews from ({_RECENT_SQL}) group by pr_id",
+@query("recent_activity", with_views(["reviews", "comments", "users"], f"select pr_id, count(*) as n, count(distinct login) as actors, {sql_ts('min(ts)')} as oldest, min(login) as first_login, count(*) filter (kind = 'review') as reviews from ({RECENT_SQL}) group by pr_id",
        {"cohort": COHORT_SQL, "activity": ACTIVITY_SQL}))
 def recent_activity(t: DriverTables) -> DataFrame:
     return recent_activity_rows(t).groupBy("pr_id").agg(
