@@ -11,7 +11,8 @@ Lines travel as hashes.  Equal lines are counted by partial aggregation before a
 else; only leaves with several different lines need their tokens, and only one
 occurrence of each such line sends them.  Leaves with more than ``BLOCK`` different lines
 are compared in lots: lines that agree on one of ``TURNS`` sets of positions meet.  Texts
-meet line numbers by merge joins at every size, as both grow with the corpus.
+meet line numbers by merge joins at every size, as both grow with the corpus; so the
+texts are dealt out twice, once for the wanted tokens and once for the result.
 
 Lines of fewer than ``TOKENS`` tokens stay.  Null texts count as empty.  Rows of one
 doc_id are one document; rows without a doc_id pass unchanged.  An empty table gives an
