@@ -82,7 +82,20 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op7_image_copies, op8_feistel_pseudonyms, op9_hyperminhash, op10_toxicity_pu)}
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE: dict[str, str] = {
+    "op9_hyperminhash": f"""with recursive
+        told as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+        sh as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from told),
+        size as (select doc_id, count(*) as n from sh group by doc_id),
+        met as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+        link as (select x, y from met join size a on a.doc_id = x join size b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+        ends as (select x, y from link union all select y, x from link),
+        reach as (select doc_id, doc_id as r from documents union select reach.doc_id, ends.y from reach join ends on ends.x = reach.r)
+        select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, d.doc_id = min(r) as kept
+        from documents d join reach using (doc_id) left join size using (doc_id) group by d.doc_id""",
+}
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

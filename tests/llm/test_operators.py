@@ -428,3 +428,13 @@ def test_registers_agree_as_sets_do():
         guess.append(neardup.estimate(np.array([(ra == rb).sum()]), np.array([len(a)]), np.array([len(b)]))[0])
         true.append(len(a) / len(b))
     assert abs(np.mean(np.array(guess) - true)) < 0.02 and np.abs(np.array(guess) - true).max() < 0.35
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+def test_query_equals_sql(spark, sf_dir, name):
+    from check import canon, duck
+
+    df = catalog.load()[0][name](spark, sf_dir)
+    cur = duck(sf_dir).execute(catalog.ORACLE[name])
+    cols = [d[0] for d in cur.description]
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(cols, cur.fetchall())
