@@ -12,6 +12,7 @@ def load():
         snapshots,
         features,
         boundaries,
+        roundtrips,
         streams,
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.catalog.common import sql_ts, ts
 from hindcast.catalog.registry import query
 from hindcast.operators.normalize import normalize_timeline
-from hindcast.session import shared_folder
+from hindcast.session import scratch_folder
 from hindcast.sources.binding import ACTED_AT, CREATED_AT, DriverTables
 from hindcast.streaming import ingest, intervals, windows
 
@@ -22,8 +21,7 @@ def _stream(t: DriverTables, name: str) -> DataFrame:
 
 
 def _folder(t: DriverTables) -> str:
-    local = tempfile.gettempdir() if t.spark.sparkContext.master.startswith("local") else None
-    return f"{shared_folder(t.spark, local)}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(t: DriverTables, stream: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -56,16 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> No
         spark.sparkContext.setCheckpointDir(shared_folder(spark, default))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder; one-process sessions without ``spark.checkpoint.dir`` get a folder of their own."""
+    alone = spark.sparkContext.master.partition("[")[0] == "local"
+    return shared_folder(spark, _own_folder() if alone else None).rstrip("/")
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="hindcast-")
+
+
 def stored(df):
     """Write a table that several later steps read to the shared folder, once.
 
-    A reliable checkpoint: it outlives lost executors, unlike cached blocks.  In
-    local sessions without ``spark.checkpoint.dir`` the system's temporary folder
-    serves; a cluster must name a shared one.
+    A reliable checkpoint: it outlives lost executors, unlike cached blocks.
     """
-    import tempfile
-
-    spark = df.sparkSession
-    local = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
-    ensure_checkpoint_dir(spark, local)
+    ensure_checkpoint_dir(df.sparkSession, scratch_folder(df.sparkSession))
     return df.checkpoint()
