@@ -10,8 +10,8 @@ others are dropped.
 Lines travel as hashes.  Equal lines are counted by partial aggregation before anything
 else; only leaves with several different lines need their tokens, and only one
 occurrence of each such line sends them.  Leaves with more than ``BLOCK`` different lines
-are compared in lots: lines that agree on one of ``TURNS`` sets of positions meet.  Texts
-meet line numbers by merge joins at every size, as both grow with the corpus; so the
+get the same templates by joins: lines that are alike agree on one whole piece of their
+positions, if there is one piece more than positions they may differ in.  Texts meet line numbers by merge joins at every size, as both grow with the corpus; so the
 texts are dealt out twice, once for the wanted tokens and once for the result.
 
 Lines of fewer than ``TOKENS`` tokens stay.  Null texts count as empty.  Rows of one
@@ -37,7 +37,6 @@ TOKENS = 3
 DOCS = 3
 ALIKE = 0.8
 BLOCK = 2048
-TURNS = 3
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _FIELD = np.uint64(0x5BD1E9955BD1E995)
 
@@ -103,8 +102,8 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line of a lot, the line that leads its template (the commonest comes first)."""
-    for table in _runs(batches, ["leaf", "lot"]):
+    """For each line of a leaf, the line that leads its template (the commonest comes first)."""
+    for table in _runs(batches, ["leaf"]):
         line, weight = table.column("line").to_numpy(), table.column("docs").to_numpy()
         tokens = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for c in table.column("tokens").chunks for x in c])
         order = np.lexsort((line, -weight))
@@ -122,24 +121,86 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(table.column("leaf").to_numpy()), pa.array(line), pa.array(lead)], ["leaf", "line", "lead"])
 
 
-def _lot(turn: int):
-    """Lines of a large leaf that agree on the positions of this turn get the same lot."""
+PIECES = "leaf long, key long, line long, docs long, tokens binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lots = []
-            for large, raw in zip(batch.column("large").to_pylist(), batch.column("tokens")):
-                lot = 0
-                if large:
-                    t = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
-                    # Three positions past the leading tokens, others in each turn.
-                    at = DEPTH + (np.array([1, 3, 7]) * (turn + 1) * 2 + turn) % max(len(t) - DEPTH, 1)
-                    own = t[np.minimum(at, len(t) - 1)]
-                    lot = int(arrays.sequences(own, np.array([0]), np.array([len(own)]))[0].astype(np.int64))
-                lots.append(lot)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("leaf", "line", "docs", "large", "tokens")] + [pa.array(lots, pa.int64())], ["leaf", "line", "docs", "large", "tokens", "lot"])
 
-    return run
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line and piece of the positions past the leading tokens, one piece more than two alike lines may differ in."""
+    for batch in batches:
+        home, keys = [], []
+        for row, raw in enumerate(batch.column("tokens")):
+            t = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
+            n = 1 + np.count_nonzero(np.arange(len(t)) / len(t) >= ALIKE)
+            edges = DEPTH + np.arange(n + 1) * (len(t) - DEPTH) // n
+            keys.append(arrays.mixed(arrays.sequences(t, edges[:-1], edges[1:]) + np.arange(n, dtype=np.uint64)).view(np.int64))
+            home += [row] * n
+        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        own = batch.take(pa.array(home, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column("leaf"), pa.array(key), own.column("line"), own.column("docs"), own.column("tokens")], ["leaf", "key", "line", "docs", "tokens"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each asking line the answer before it that agrees best, the first of equals."""
+    for table in _runs(batches, ["leaf", "key", "i", "j"]):
+        asks = table.column("asks").to_numpy() == 1
+        if asks.all() or not asks.any():
+            continue
+        line, docs = table.column("line").to_numpy(), table.column("docs").to_numpy()
+        tokens = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for c in table.column("tokens").chunks for x in c])
+        own, own_line, own_docs = tokens[asks], line[asks], docs[asks]
+        best, lead = np.zeros(len(own)), np.full(len(own), -1)
+        order = np.lexsort((line, -docs))
+        for i in order[~asks[order]]:
+            same = (own == tokens[i]).mean(axis=1)
+            after = (own_docs < docs[i]) | (own_docs == docs[i]) & (own_line > line[i])
+            better = after & (same >= ALIKE) & (same > best)
+            best[better], lead[better] = same[better], i
+        hit = lead >= 0
+        made = [table.column("leaf").to_numpy()[asks][hit], own_line[hit], line[lead[hit]], docs[lead[hit]], best[hit]]
+        yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["leaf", "line", "lead", "docs", "same"])
+
+
+def _best(asking: DataFrame, answers: DataFrame) -> DataFrame:
+    """leaf, line and lead: for lines of ``asking`` the alike line of ``answers`` that comes before it and agrees best.
+
+    Both come in pieces.  Lines that share a piece meet in squares of ``BLOCK`` by ``BLOCK`` lines.
+    """
+    parts = lambda x, name: x.groupBy("leaf", "key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias(name))
+    size = parts(asking, "rows").join(parts(answers, "columns"), ["leaf", "key"])
+    own = lambda name: F.pmod(F.xxhash64("line"), F.col(name))
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    columns = ["leaf", "key", "i", "j", "line", "docs", "tokens", "asks"]
+    one = asking.join(size, ["leaf", "key"]).withColumn("i", own("rows")).withColumn("j", each("columns")).withColumn("asks", F.lit(1))
+    two = answers.join(size, ["leaf", "key"]).withColumn("j", own("columns")).withColumn("i", each("rows")).withColumn("asks", F.lit(0))
+    met = one.select(*columns).unionByName(two.select(*columns)).repartition("leaf", "key", "i", "j").sortWithinPartitions("leaf", "key", "i", "j")
+    found = met.mapInArrow(_nearest, "leaf long, line long, lead long, docs long, same double")
+    best = found.groupBy("leaf", "line").agg(F.min(F.struct((-F.col("same")).alias("same"), (-F.col("docs")).alias("docs"), "lead")).alias("best"))
+    return best.select("leaf", "line", "best.lead")
+
+
+def _led(lines: DataFrame) -> DataFrame:
+    """What ``_lead`` finds, without the leaders themselves, for leaves of any size.
+
+    A line leads if no leader before it is alike.  In each round the open lines without
+    an alike open line before them become leaders and close all lines alike to them; the
+    first open line of a leaf always is one, so the rounds end.  Most lines are alike to
+    the first line of one of their pieces; only the others are held against whole pieces.
+    """
+    on = ["leaf", "line"]
+    every = kept(lines.mapInArrow(_pieces, PIECES), "pieces")
+    left, leaders = every, None
+    while True:
+        first = F.min(F.struct((-F.col("docs")).alias("docs"), "line", "tokens")).alias("first")
+        heads = left.groupBy("leaf", "key").agg(first, F.count("*").alias("n")).where("n > 1")
+        heads = heads.select("leaf", "key", "first.line", (-F.col("first.docs")).alias("docs"), "first.tokens")
+        rest = kept(left.join(_best(left, heads), on, "left_anti"), "rest")
+        fresh = kept(rest.join(_best(rest, left), on, "left_anti"), "fresh")
+        leaders = fresh if leaders is None else leaders.unionByName(fresh)
+        others = kept(left.join(fresh.select(*on).distinct(), on, "left_anti"), "others")
+        left = kept(others.join(_best(others, fresh), on, "left_anti"), "left")
+        if left.isEmpty():
+            break
+    return _best(every.join(leaders.select(*on).distinct(), on, "left_anti"), leaders)
 
 
 def templates(docs: DataFrame, found: DataFrame, least: int = DOCS) -> DataFrame:
@@ -153,22 +214,12 @@ def templates(docs: DataFrame, found: DataFrame, least: int = DOCS) -> DataFrame
     active = kept(lines.join(leaves.select("leaf", (F.col("n") > BLOCK).alias("large")), "leaf"), "active")
     tokens = _tokens(docs, active.select("doc_id", "number", "leaf", "line"))
     left = kept(active.select("leaf", "line", "docs", "large").join(tokens, ["leaf", "line"]), "tokens")
-    schema = "leaf long, line long, docs long, large boolean, tokens binary, lot long"
-    chain = None
-    for turn in range(TURNS):
-        lots = left.mapInArrow(_lot(turn), schema).repartition("leaf", "lot").sortWithinPartitions("leaf", "lot")
-        step = kept(lots.mapInArrow(_lead, "leaf long, line long, lead long"), "lead")
-        if chain is None:
-            chain = step
-        else:
-            next_ = step.select("leaf", F.col("line").alias("lead"), F.col("lead").alias("later"))
-            chain = kept(chain.join(next_, ["leaf", "lead"], "left").select("leaf", "line", F.coalesce("later", "lead").alias("lead")), "chain")
-        left = left.where("large").join(step.where("line = lead").select("leaf", "line"), ["leaf", "line"])
-        if turn + 1 < TURNS:
-            left = kept(left, "left")
-            if left.isEmpty():
-                break
-    return chain.where("line <> lead").select("leaf", "line", F.col("lead").alias("template"))
+    small = left.where("not large").select("leaf", "line", "docs", "tokens").repartition("leaf").sortWithinPartitions("leaf")
+    chain = kept(small.mapInArrow(_lead, "leaf long, line long, lead long"), "lead").where("line <> lead")
+    many = left.where("large").select("leaf", "line", "docs", "tokens")
+    if not many.isEmpty():
+        chain = chain.unionByName(kept(_led(many), "led"))
+    return chain.select("leaf", "line", F.col("lead").alias("template"))
 
 
 def drops(docs: DataFrame, least: int = DOCS) -> DataFrame:

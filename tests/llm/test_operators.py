@@ -216,6 +216,26 @@ def test_templates_generalise_fields_of_letters(spark):
     assert sum(got[i] for i in range(10)) == 9 and not any(got[100 + i] for i in range(10))
 
 
+@pytest.mark.parametrize("width", [5, 10])
+def test_large_leaves_have_the_templates_of_small_ones(spark, monkeypatch, width):
+    ship(spark)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    word = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:6].translate(letters)
+    rows = []
+    for at in range(3, width):  # lines with one field, at each position
+        rows += [" ".join(["all", "rights", "of", *[word(at, k, i if k == at else 0) for k in range(3, width)]]) for i in range(12)]
+    for i in range(60):  # lines that differ from a common one in some positions, and from each other in more
+        rows.append(" ".join(["all", "rights", "of", *[word("x", k, zlib.crc32(f"{i}/{k}".encode()) % 5 == 0 and i % 7) for k in range(3, width)]]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = templates.occurrences(docs)
+    whole = {tuple(r) for r in templates.templates(docs, found).collect()}
+    monkeypatch.setattr(templates, "BLOCK", 8)
+    assert {tuple(r) for r in templates.templates(docs, found).collect()} == whole
+    dropped = {r["doc_id"]: r["n_dropped"] for r in templates.dedup(docs).collect()}
+    for at in range(width - 3):
+        assert sum(dropped[12 * at + i] for i in range(12)) >= 11
+
+
 # -- 4 ----------------------------------------------------------------------------------------------
 
 
