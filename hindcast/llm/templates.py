@@ -3,8 +3,8 @@
 Lines are parsed by a tree of fixed depth: token count first, then the ``DEPTH`` leading
 tokens; tokens with a digit count as a variable field everywhere.  Inside a leaf, lines
 that agree on at least ``ALIKE`` of their positions fall under one template; where they
-differ the template has a field.  A template that occurs in ``DOCS`` documents or more
-is boilerplate: its first occurrence (smallest doc_id, then first line) stays and all
+differ the template has a field.  A template that occurs in ``DOCS`` documents or more,
+or in ``TWO`` if it has ``LONG`` tokens or more, is boilerplate: its first occurrence (smallest doc_id, then first line) stays and all
 others are dropped.
 
 Lines travel as hashes.  Equal lines are counted by partial aggregation before anything
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm import arrays
@@ -35,6 +35,7 @@ from hindcast.llm.scratch import kept
 DEPTH = 3
 TOKENS = 3
 DOCS = 3
+LONG, TWO = 20, 2
 ALIKE = 0.8
 BLOCK = 2048
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
@@ -203,14 +204,19 @@ def _led(lines: DataFrame) -> DataFrame:
     return _best(every.join(leaders.select(*on).distinct(), on, "left_anti"), leaders)
 
 
+def _enough(least: int) -> Column:
+    """The number of documents from which lines of this width are boilerplate."""
+    return F.when(F.col("width") >= LONG, F.lit(min(least, TWO))).otherwise(F.lit(least))
+
+
 def templates(docs: DataFrame, found: DataFrame, least: int = DOCS) -> DataFrame:
     """leaf, line and template of the lines that share a template with other lines."""
     pairs = found.select("leaf", "line", "doc_id").distinct()
     lines = pairs.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    lines = lines.join(found.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "number")).alias("one")), ["leaf", "line"])
-    lines = kept(lines.select("leaf", "line", "docs", "one.doc_id", "one.number"), "lines")
+    lines = lines.join(found.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "number")).alias("one"), F.max("width").alias("width")), ["leaf", "line"])
+    lines = kept(lines.select("leaf", "line", "docs", "width", "one.doc_id", "one.number"), "lines")
     # A leaf matters if it has several lines and enough documents.
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all")).where((F.col("n") > 1) & (F.col("all") >= least))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all"), F.max("width").alias("width")).where((F.col("n") > 1) & (F.col("all") >= _enough(least)))
     active = kept(lines.join(leaves.select("leaf", (F.col("n") > BLOCK).alias("large")), "leaf"), "active")
     tokens = _tokens(docs, active.select("doc_id", "number", "leaf", "line"))
     left = kept(active.select("leaf", "line", "docs", "large").join(tokens, ["leaf", "line"]), "tokens")
@@ -226,9 +232,9 @@ def drops(docs: DataFrame, least: int = DOCS) -> DataFrame:
     """doc_id, number and line of every occurrence that goes."""
     found = kept(occurrences(docs), "occurrences")
     under = templates(docs, found, least)
-    rows = found.join(under, ["leaf", "line"], "left").select("doc_id", "number", "line", "leaf", F.coalesce("template", "line").alias("template"))
-    pairs = rows.groupBy("leaf", "template", "doc_id").agg(F.min("number").alias("number"))
-    many = pairs.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "number")).alias("first")).where(F.col("docs") >= least)
+    rows = found.join(under, ["leaf", "line"], "left").select("doc_id", "number", "line", "leaf", "width", F.coalesce("template", "line").alias("template"))
+    pairs = rows.groupBy("leaf", "template", "doc_id").agg(F.min("number").alias("number"), F.max("width").alias("width"))
+    many = pairs.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "number")).alias("first"), F.max("width").alias("width")).where(F.col("docs") >= _enough(least))
     met = rows.join(many.select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number")), ["leaf", "template"])
     return met.where("doc_id <> first_doc or number <> first_number").select("doc_id", "number", "line")
 

@@ -236,6 +236,17 @@ def test_large_leaves_have_the_templates_of_small_ones(spark, monkeypatch, width
         assert sum(dropped[12 * at + i] for i in range(12)) >= 11
 
 
+def test_long_lines_go_from_two_documents_on(spark):
+    ship(spark)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    text = lambda name, n: " ".join(hashlib.md5(f"{name}/{i}".encode()).hexdigest()[:6].translate(letters) for i in range(n))
+    twice, changed, short, once = text("twice", 60), text("changed", 60), text("short", 19), text("once", 60)
+    rows = [(1, f"{text(1, 5)}\n{twice}\n{changed}\n{short}"), (2, f"{text(2, 5)}\n{twice}\n{changed} \n{short}\n{once}"), (3, f"{text(3, 5)}\n{text('other', 60)}\n{once} again")]
+    rows[1] = (2, rows[1][1].replace(changed, changed.replace(changed.split()[30], "field")))
+    got = {r["doc_id"]: r["text"] for r in templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{text(2, 5)}\n{short}\n{once}", 3: rows[2][1]}
+
+
 # -- 4 ----------------------------------------------------------------------------------------------
 
 
