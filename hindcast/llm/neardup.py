@@ -4,7 +4,8 @@
    fingerprint of the shingle set and ``BUCKETS`` registers.  A register holds the
    leading zeros (6 bits) and ``MANTISSA`` more bits of the smallest hash in its
    bucket; empty buckets borrow from a fixed order of other buckets, so short texts
-   agree as often as their sets do.  Bands of ``ROWS`` registers become hashes.
+   agree as often as their sets do.  Bands of registers become hashes; the threshold
+   gives their size (``shape``).
 2. Documents with equal sets form a class, represented by its smallest doc_id.
 3. Classes sharing a band are joined to the band's smallest class; the components of
    these candidate links are clusters, outside which no link can lie.
@@ -14,8 +15,8 @@
    only what these do not join is compared with the whole cluster, block by block.
 5. The components of the confirmed links give every document its component.
 
-A link whose similarity is at the threshold is missed by all 21 bands with
-probability below 1 in 20,000.  Null and empty texts have no shingles and link with
+A link whose similarity is at the threshold is missed by all bands with probability
+below 1 in 20,000: 4.9e-5 at 0.80 (25 bands of 5), 4.8e-5 at 0.85 (21 bands of 6).  Null and empty texts have no shingles and link with
 nothing; rows of one doc_id are one document; a null doc_id links with nothing and
 gets a null component.
 """
@@ -35,7 +36,7 @@ from hindcast.llm.scratch import kept
 
 BUCKET_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << BUCKET_BITS
-BANDS, ROWS = 21, 6
+MISSED = 1 / 20_000
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 HUBS = 3
 _REST = 64 - BUCKET_BITS
@@ -93,13 +94,20 @@ def registers(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return full
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
+def shape(percent: int) -> tuple[int, int]:
+    """Bands and registers a band: the largest bands that all miss a link at the threshold with probability ``MISSED`` at most."""
+    sizes = [(BUCKETS // rows, rows) for rows in range(1, BUCKETS + 1)]
+    return max((x for x in sizes if (1 - (percent / 100) ** x[1]) ** x[0] <= MISSED), key=lambda x: x[1], default=sizes[0])
+
+
+def bands(regs: np.ndarray, percent: int) -> np.ndarray:
     """One hash per text and band."""
-    part = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    n, rows = shape(percent)
+    part = regs[:, : n * rows].reshape(len(regs), n, rows).astype(np.uint64)
     total = np.zeros(part.shape[:2], np.uint64)
-    for i in range(ROWS):
+    for i in range(rows):
         total = arrays.mixed(total + part[:, :, i] + np.uint64(0x9E3779B97F4A7C15))
-    return arrays.mixed(total + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return arrays.mixed(total + np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -112,22 +120,23 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (equal - np.minimum(chance, equal)) / BUCKETS
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, fp1, fp2 and bands of every row; fingerprints and bands are null without shingles."""
+    n = shape(percent)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, fps, keys = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], [np.empty((0, BANDS), np.int64)]
+            sizes, fps, keys = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], [np.empty((0, n), np.int64)]
             for _, buf, offsets in arrays.slices(batch.column("text")):
                 sets, bounds = shingles(buf, offsets, k)
                 one = _sums(sets, bounds)
                 two = _sums(arrays.mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds)
                 sizes.append(np.diff(bounds))
                 fps.append(np.stack([one, two], axis=1).view(np.int64))
-                keys.append(bands(registers(sets, bounds)))
+                keys.append(bands(registers(sets, bounds), percent))
             size, fp, key = np.concatenate(sizes), np.concatenate(fps), np.concatenate(keys)
             none = size == 0
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1)), n).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size), pa.array(fp[:, 0].copy(), mask=none), pa.array(fp[:, 1].copy(), mask=none), lists],
                 ["doc_id", "n_shingles", "fp1", "fp2", "bands"],
@@ -336,7 +345,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (columns doc_id, text)."""
-    sketched = kept(sketches(docs, k), "sketches")
+    sketched = kept(sketches(docs, k, percent), "sketches")
     confirmed = links(docs, sketched, k, percent)
     classes = sketched.where(F.col("fp1").isNotNull()).groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"))
     found = components(confirmed)

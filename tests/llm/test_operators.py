@@ -462,6 +462,17 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     same(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect(), linked_sets(rows, 3, 85), rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 90])
+def test_bands_meet_at_the_threshold(percent):
+    n, rows = neardup.shape(percent)
+    assert n * rows <= neardup.BUCKETS and (1 - (percent / 100) ** rows) ** n < 1 / 20_000
+    rng = np.random.default_rng(5)
+    one = rng.integers(1, 1 << 16, (40_000, neardup.BUCKETS)).astype(np.uint16)
+    two = np.where(rng.random(one.shape) < percent / 100, one, one ^ np.uint16(1))
+    missed = (neardup.bands(one, percent) != neardup.bands(two, percent)).all(axis=1).sum()
+    assert missed <= 10  # 2 expected at most
+
+
 def test_registers_agree_as_sets_do():
     rng = np.random.default_rng(0)
     guess, true = [], []
