@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import bpe, labelled, lattice, media, mixing, neardup, ngrams, pseudonyms, quality, templates, toxicity
+from hindcast.llm import bpe, conversations, labelled, lattice, media, mixing, neardup, negatives, ngrams, oracles, pseudonyms, quality, templates, toxicity, urls
 from hindcast.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,28 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scores(docs, model).drop("text"), toxicity.FOLDS, toxicity.HELD, toxicity.TOXIC)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op7_image_copies, op8_feistel_pseudonyms, op9_hyperminhash, op10_toxicity_pu)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after planted damage."""
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of every hundredth vector, among all vectors."""
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by rules and by their host's trust and distrust."""
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.RULES)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_subword_lattice, op3_line_templates, op4_byte_bpe, op5_quality_ranking, op6_ngram_ratio, op7_image_copies,
+        op8_feistel_pseudonyms, op9_hyperminhash, op10_toxicity_pu, op11_conversation_repair, op12_hard_negatives, op13_url_link_graph,
+    )
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE: dict[str, str] = {
@@ -95,6 +116,9 @@ ORACLE: dict[str, str] = {
         reach as (select doc_id, doc_id as r from documents union select reach.doc_id, ends.y from reach join ends on ends.x = reach.r)
         select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, d.doc_id = min(r) as kept
         from documents d join reach using (doc_id) left join size using (doc_id) group by d.doc_id""",
+    "op11_conversation_repair": oracles.conversations(),
+    "op12_hard_negatives": oracles.negatives(),
+    "op13_url_link_graph": oracles.urls(),
 }
 
 
