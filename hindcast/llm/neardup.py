@@ -17,8 +17,8 @@
 
 A link whose similarity is at the threshold is missed by all bands with probability
 below 1 in 20,000: 4.9e-5 at 0.80 (25 bands of 5), 4.8e-5 at 0.85 (21 bands of 6).  Null and empty texts have no shingles and link with
-nothing; rows of one doc_id are one document; a null doc_id links with nothing and
-gets a null component.
+nothing; rows of one doc_id are one document, which all texts of that doc_id link with others (``repeated``);
+a null doc_id links with nothing and gets a null component.
 """
 
 from __future__ import annotations
@@ -343,13 +343,26 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFra
     return found.unionByName(joined).unionByName(kept(late, "late"))
 
 
+def repeated(rows: DataFrame, node: str, marks: list[str]) -> DataFrame:
+    """Ids in column ``node`` whose rows differ in ``marks`` (content fingerprints, null for none)."""
+    content = F.struct(*marks)
+    seen = rows.where(F.col(node).isNotNull()).groupBy(node).agg(F.min(content).alias("low"), F.max(content).alias("high"))
+    return seen.where("low <> high").select(node)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (columns doc_id, text)."""
+    marks = ["fp1", "fp2", "n_shingles"]
     sketched = kept(sketches(docs, k, percent), "sketches")
     confirmed = links(docs, sketched, k, percent)
-    classes = sketched.where(F.col("fp1").isNotNull()).groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    found = components(confirmed)
-    roots = classes.join(found, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("root", "node").alias("root"))
-    rows = sketched.select("doc_id", "n_shingles", "fp1", "fp2").join(roots, ["fp1", "fp2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
+    classes = sketched.where(F.col("fp1").isNotNull()).groupBy(*marks).agg(F.min("doc_id").alias("node"))
+    # A document with several texts holds their classes together.
+    many = kept(repeated(sketched, "doc_id", marks), "repeated")
+    own = sketched.join(many, "doc_id").join(classes, marks).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(confirmed.unionByName(own))
+    roots = classes.join(found, "node", "left").select(*marks, F.coalesce("root", "node").alias("root"))
+    rows = sketched.select("doc_id", *marks).join(roots, marks, "left")
+    home = found.join(many, F.col("node") == F.col("doc_id")).select("doc_id", F.col("root").alias("home"))
+    rows = rows.join(home, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "home", "doc_id")).alias("component_id")
     return rows.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

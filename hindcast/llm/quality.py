@@ -29,6 +29,7 @@ from hindcast.llm import arrays, labelled
 PER_MARK = 8000
 FOLDS, HELD = 4, 2
 GOOD = 0.7
+STEPS, GOOD_WEIGHT = 10_000, 10
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _LETTER = np.isin(np.arange(256), np.r_[65:91, 97:123]) | (np.arange(256) > 127)
 _TAIL = np.isin(np.arange(256), np.frombuffer(b".,!?;:", np.uint8))
@@ -148,10 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_mark: int = PER_MARK) -> dict:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     got = slim.mapInArrow(numbers, "doc_id long, mark int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
-    model = fit(x, got["mark"].to_numpy())
-    s = score(model, x) if len(got) else np.empty(0)
-    model["scores"] = (s, got["mark"].to_numpy())
-    return model
+    return fit(x, got["mark"].to_numpy())
 
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
@@ -169,13 +167,23 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def cutoff(model: dict, quantile: float = 0.001) -> float:
-    """The score below which a document is rejected: a low quantile of the scores of good documents.
+def cutoff(docs: DataFrame, labels: DataFrame, model: dict) -> float:
+    """The score below which a document is rejected, from the scores of all training rows.
 
-    Where it lies above the same high quantile of the bad ones, the middle of the two.
+    Counts per mark and score (in steps of 1 / ``STEPS``) give both errors at every level; the level with the
+    least ``GOOD_WEIGHT`` x share of good ones lost + share of bad ones kept is taken, the middle
+    one of equal ones.  0 (nothing goes) where a mark has no rows.
     """
-    s, mark = model["scores"]
-    if not (mark == 1).any() or not (mark == 0).any():
+    marks = labelled.marks(labels, "quality", FOLDS, HELD)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id")
+    step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
+    rows = scores(marked, model).groupBy("mark", step).count().collect()  # 2 x (STEPS + 1) rows at most
+    counts = np.zeros((2, STEPS + 2))
+    for r in rows:
+        counts[r["mark"], r["step"] + 1] += r["count"]
+    if not counts.sum(axis=1).all():
         return 0.0
-    low, high = np.quantile(s[mark == 1], quantile), np.quantile(s[mark == 0], 1 - quantile)
-    return float(min(low, (low + high) / 2))
+    below = np.cumsum(counts, axis=1)[:, :-1] / counts.sum(axis=1, keepdims=True)
+    error = np.round(GOOD_WEIGHT * below[1] + 1 - below[0], 12)
+    levels = np.flatnonzero(error == error.min())
+    return float(levels[len(levels) // 2]) / STEPS

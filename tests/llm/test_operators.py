@@ -178,8 +178,8 @@ def test_scores_without_rows_or_languages(docs, none):
 
 def test_lattice_beats_plain_counts_on_held_out_texts(spark, sf_dir):
     pytest.importorskip("public_tokenizers")
-    got = catalog.load()[0]["op2_subword_lattice"](spark, sf_dir.replace("0.001", "0.01")).where("not held_out").agg({"base_score": "sum", "score": "sum"}).first()
-    assert got["sum(score)"] > got["sum(base_score)"]
+    got = catalog.load()[0]["op2_subword_lattice"](spark, sf_dir.replace("0.001", "0.01")).groupBy("held_out").agg({"base_score": "sum", "score": "sum"}).collect()
+    assert len(got) == 2 and all(r["sum(score)"] > r["sum(base_score)"] for r in got)
 
 
 # -- 3 ----------------------------------------------------------------------------------------------
@@ -275,6 +275,25 @@ def test_byte_pairs_like_tiktoken(spark, docs, rows, none):
     assert bpe.digests(none, path).count() == 0 and bpe.encode(none, path).count() == 0
 
 
+def test_words_that_share_a_polynomial_hash(spark):
+    public, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    ship(spark)
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    (_, buf, offsets), = arrays.slices(pa.array([word, other]))
+    one, two = arrays.hashes(buf, *arrays.spans(buf, offsets)[:2]).tolist()
+    assert one == two and word != other
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [f"{word}\n{other} and more", other, word, "plain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(table, path).collect()}
+    assert got == {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 # -- 5 and 10 ---------------------------------------------------------------------------------------
 
 
@@ -306,6 +325,17 @@ def test_classifiers_on_awkward_rows(spark, docs, none, module, column):
             assert got.count() == table.count() and all(0 <= r["score"] <= 1 for r in got.collect())
 
 
+def test_cutoff_weighs_both_errors(spark):
+    ship(spark)
+    good = "The council met on Tuesday. It agreed on a plan for the old bridge, and the work begins in May."
+    rows = [(i, f"{good} It is report {i}." if i % 2 else "BUY now $$$ ### click || free && win *** " * (1 + i % 3)) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)] + [(7, None)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    least = quality.cutoff(docs, labels, model)
+    assert {r["doc_id"] % 2 for r in quality.scores(docs, model).where(f"score >= {least}").collect()} == {1} and 0 < least <= 1
+    assert quality.cutoff(docs, labels.where("quality = 1"), model) == 0.0 and quality.cutoff(docs.limit(0), labels, model) == 0.0
+
+
 def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", labelled.held_out(4, 2)).collect()
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h in got)
@@ -360,6 +390,14 @@ def test_edited_pictures_are_found(spark):
     assert media.copies(table.limit(0)).count() == 0
 
 
+def test_contents_of_one_image_are_linked(spark):
+    ship(spark)
+    a, b = (media.write_pgm(media.drawn(v)) for v in np.random.default_rng(8).normal(0, 0.125, (2, 64)))
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, None), (11, b), (12, None)]
+    got = sorted(tuple(r)[::2] + tuple(r)[-1:] for r in media.copies(spark.createDataFrame(rows, "image_id long, content binary")).select("image_id", "n_corners", "group_id", "n_links", "kept").collect())
+    assert [(i, g, k) for i, g, *_, k in got] == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (11, 3, False), (11, 3, False), (12, 12, True)]
+
+
 # -- 8 ----------------------------------------------------------------------------------------------
 
 
@@ -455,6 +493,15 @@ def test_near_duplicates_of_awkward_rows(docs, rows, none):
     assert neardup.near_duplicates(none, 3, 85).count() == 0
 
 
+def test_texts_of_one_document_are_linked(spark):
+    ship(spark)
+    other = BASE[::-1]
+    rows = [(3, BASE), (5, BASE), (5, other), (9, other + " x"), (9, None), (20, other), (21, None), (21, ""), (None, other), (22, "a b c d"), (22, "e f g h"), (30, "e f g h"), (31, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    want = {3: 3, 5: 3, 9: 3, 20: 3, 21: 21, None: None, 22: 22, 30: 22, 31: 31}
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] is None or want[r["doc_id"]] == r["doc_id"]) for r in got)
+
+
 def test_large_clusters_lose_no_link(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(neardup, "BLOCK", 16)
