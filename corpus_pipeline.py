@@ -27,8 +27,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose preference score is not below the cutoff; the ranking is learned from the marks."""
     ship(spark)
-    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _documents(quality.scores(_documents(docs), model).where(F.col("score") >= quality.cutoff(model)))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, labels)
+    return _documents(quality.scores(_documents(docs), model).where(F.col("score") >= quality.cutoff(docs, labels, model)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
