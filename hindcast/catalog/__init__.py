@@ -14,6 +14,7 @@ def load():
         boundaries,
         roundtrips,
         streams,
+        similarity,
     )
 
     return registry.callables(), dict(registry.ORACLE)
