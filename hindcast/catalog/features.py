@@ -231,10 +231,8 @@ def footprint_topn(t: DriverTables) -> DataFrame:
 @query("touched_prs", with_views(PAIR_VIEWS, "select p.pr_id, p.login, count(t.pr_id) as touched from pairs p join touch t on t.repo_id = p.repo_id and t.user_id = p.user_id and t.cutoff = p.cutoff group by all", {k: v for k, v in TOUCH_SQL.items() if k not in ("th", "tf", "fb", "fd")}))
 def touched_prs(t: DriverTables) -> DataFrame:
     pairs = candidate_pairs(t).filter("user_id is not null")
-    rows = fr.activity(t).select("repo_id", "user_id", "pr_id", "ts").unionByName(_authored(t))
-    asks = pairs.select("repo_id", "user_id", "cutoff", "login", F.col("pr_id").alias("for_pr"))
-    met = asof.within_days(asks, rows, ["repo_id", "user_id"], "cutoff", "ts", 180)
-    return met.groupBy(F.col("for_pr").alias("pr_id"), "login").agg(F.count_distinct("pr_id").alias("touched")).select("pr_id", "login", "touched")
+    sums = ft.touched_prs(pairs, fr.activity(t), _authored(t))
+    return pairs.join(sums, ["repo_id", "user_id", "cutoff"]).filter("touched > 0").select("pr_id", "login", "touched")
 
 
 @query("pair_affinity", with_views(TOUCH_VIEWS, """select p.pr_id, p.login, coalesce(m.n, 0) as dir_overlap, round(coalesce(m.n / k.n, 0), 8) as dir_overlap_share, round(coalesce(m.dot, 0), 8) as dir_dot from pairs p

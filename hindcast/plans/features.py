@@ -301,27 +301,42 @@ def footprint(touched: DataFrame, key: Column, n: int = FOOTPRINT_N) -> DataFram
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("rn") <= n, F.struct("key", "share"))))).alias("scores"))
 
 
+def touched_prs(asks: DataFrame, acted: DataFrame, authored: DataFrame, days: int = 180) -> DataFrame:
+    """Number of pull requests a user touched in the window: (repo_id, user_id, cutoff, touched).
+
+    A touch counts for ``days``; the touches of one pull request merge to spans, and the
+    answer is the number of spans open at the cutoff.  Linear in touches and cutoffs.
+    """
+    keys = ["repo_id", "user_id"]
+    window = F.expr(f"interval '{days}' day")
+    touches = acted.select(*keys, "pr_id", "ts").unionByName(authored.select(*keys, "pr_id", "ts"))
+    daily = touches.groupBy(*keys, "pr_id", F.date_trunc("DAY", "ts")).agg(F.min("ts").alias("ts"), F.max("ts").alias("late"))
+    spans = act.merge_spans(daily.select(*keys, "pr_id", "ts", (F.col("late") + window).alias("until")), [*keys, "pr_id"], "ts", "until")
+    spans = spans.select(*keys, "ts", "until", F.lit(True).alias("closed"), F.lit(1).alias("touched"))
+    return act.span_sums(asks.select(*keys, "cutoff"), spans, keys, "ts", "until", "closed", ["touched"])
+
+
 def pair_social(pairs: DataFrame, acted: DataFrame, prs: DataFrame, days: int = 180) -> DataFrame:
     """Earlier reviews and comments of the candidate on the author's pull requests.
 
-    ``pairs``: (repo_id, pr_id, cutoff, author_id, user_id, login).  Activity gets
-    the author of its pull request first, so pairs meet only their own history.
+    ``pairs``: (repo_id, pr_id, cutoff, author_id, user_id, login).  An action counts from
+    its time until the window has left its pull request, so counts are sums over spans;
+    only the median latency looks at pull requests one by one, at one row per user and pull request.
     """
+    keys = ["repo_id", "author_id", "user_id"]
     owned = acted.select("repo_id", "user_id", "ts", "kind", F.col("pr_id").alias("on_pr")).join(
         prs.select(F.col("pr_id").alias("on_pr"), "author_id", F.col("created_at").alias("born")), "on_pr")
-    at = F.col("cutoff")
-    met = within_days(pairs, owned, ["repo_id", "author_id", "user_id"], "cutoff", "born", days).filter(F.col("ts") <= at)
-    ids = ["pr_id", "login"]
-    per_pr = met.groupBy(*ids, "on_pr", "born").agg(
-        F.count(F.when(F.col("kind") == "review_submitted", 1)).alias("r"), F.count(F.when(F.col("kind") != "review_submitted", 1)).alias("c"),
-        F.min("ts").alias("first_ts"))
-    social = per_pr.groupBy(*ids).agg(
-        F.sum("r").alias("prior_reviews"), F.sum("c").alias("prior_comments"),
-        F.percentile(seconds_between(F.col("first_ts"), F.col("born")), 0.5).alias("latency_median"))
+    first = owned.groupBy(*keys, "on_pr", "born").agg(F.min("ts").alias("first_ts"))
+    asks = pairs.select(*keys, "cutoff").distinct().join(first.select(*keys).distinct(), keys, "left_semi")  # most pairs have no history
+    review = (F.col("kind") == "review_submitted").cast("int")
+    spans = owned.select(*keys, F.greatest("ts", "born").alias("from"), (F.col("born") + F.expr(f"interval '{days}' day")).alias("until"),
+                         F.lit(True).alias("closed"), review.alias("r"), (1 - review).alias("c")).filter("from <= until")
+    sums = act.span_sums(asks, spans, keys, "from", "until", "closed", ["r", "c"])
+    met = within_days(asks, first, keys, "cutoff", "born", days).filter(F.col("first_ts") <= F.col("cutoff"))
+    waits = met.groupBy(*keys, "cutoff").agg(F.percentile(seconds_between(F.col("first_ts"), F.col("born")), 0.5).alias("latency_median"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return pairs.select("pr_id", "login").join(social, ids, "left").select(
-        *ids, (z("prior_reviews") + z("prior_comments")).alias("prior_interactions"), z("prior_reviews").alias("prior_reviews"),
-        z("prior_comments").alias("prior_comments"), "latency_median")
+    return pairs.join(sums, [*keys, "cutoff"], "left").join(waits, [*keys, "cutoff"], "left").select(
+        "pr_id", "login", (z("r") + z("c")).alias("prior_interactions"), z("r").alias("prior_reviews"), z("c").alias("prior_comments"), "latency_median")
 
 
 def pair_affinity(pairs: DataFrame, pr_scores: DataFrame, cand_scores: DataFrame) -> DataFrame:
