@@ -12,7 +12,7 @@ from hindcast.catalog.registry import query
 from hindcast.operators.normalize import normalize_timeline
 from hindcast.session import scratch_folder
 from hindcast.sources.binding import ACTED_AT, CREATED_AT, DriverTables
-from hindcast.streaming import ingest, intervals, windows
+from hindcast.streaming import families, ingest, intervals, ledger, windows
 
 
 def _stream(t: DriverTables, name: str) -> DataFrame:
@@ -81,3 +81,83 @@ def stream_normalize(t: DriverTables) -> DataFrame:
         """to_json(named_struct('event', event_type, 'created_at', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))) as payload""")
     out = _drain(t, normalize_timeline(rows).select("event_id", "event_type"))
     return out.groupBy(F.regexp_replace("event_type", "^issue[.]event[.]", "").alias("kind")).agg(F.count("*").alias("n"))
+
+
+# --- families as state machines ---------------------------------------------------------
+_OBJECT = "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 3"
+
+
+def _family_sql(opens: str, closes: str, key: str) -> str:
+    """Closed intervals whose end lies before the last watermark."""
+    return f"""with e as (select *, {key} as object_id, {opens} as o, {closes} as c from events where {opens} or {closes}),
+        mark as (select date_trunc('millisecond', max(ts)) - interval '1' day as m from e),
+        ends as (select a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) as end_id, min(b.ts) as end_ts from e a join e b on b.c and b.user_id = a.user_id
+            and b.object_id is not distinct from a.object_id and (b.ts > a.ts or (b.ts = a.ts and b.event_id > a.event_id)) where a.o group by 1)
+        select a.user_id as subject_id, a.object_id, a.event_type as value, a.event_id as start_id, n.end_id, {sql_ts('a.ts')} as start_ts, {sql_ts('n.end_ts')} as end_ts
+        from ends n join e a using (event_id), mark where n.end_ts < mark.m"""
+
+
+def _family(t: DriverTables, opens: str, closes: str, key: str | None) -> DataFrame:
+    events = _stream(t, "events").withColumnRenamed("user_id", "subject_id")
+    rows = families.keyed(events, F.expr(opens), F.expr(closes), F.col("event_type"), F.expr(key) if key else None)
+    return _drain(t, families.closed_intervals(rows)).select("subject_id", "object_id", "value", "start_id", "end_id", ts("start_ts"), ts("end_ts"))
+
+
+_ADDS, _REMOVES = "event_type in ('click', 'view')", "event_type = 'error'"
+
+
+@query("stream_memberships", _family_sql(_ADDS, _REMOVES, _OBJECT))
+def stream_memberships(t: DriverTables) -> DataFrame:
+    """Adds open, a removal closes all that its subject and object have open."""
+    return _family(t, _ADDS, _REMOVES, _OBJECT)
+
+
+_SHOWN, _HIDDEN = "event_type in ('signup', 'view')", "event_type in ('view', 'error')"
+
+
+@query("stream_comments", _family_sql(_SHOWN, _HIDDEN, "null::bigint"))
+def stream_comments(t: DriverTables) -> DataFrame:
+    """Created and edited texts open, edits and deletions close."""
+    return _family(t, _SHOWN, _HIDDEN, None)
+
+
+# --- a merged table with late rows --------------------------------------------------------
+SLICES = 5
+_LEDGER_SQL = f"""with s as (select *, least(event_id * {SLICES} // (select max(event_id) + 1 from events) + (event_id % 7 = 0)::int, {SLICES - 1}) as batch from events),
+    newest as (select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding) as newest from s group by batch),
+    r as (select s.*, coalesce(ts < newest - interval '1' hour, false) as late from s join newest using (batch))"""
+
+
+def _sliced(t: DriverTables, folder: str) -> DataFrame:
+    """Events as a stream of several files; every seventh row comes one file too late."""
+    events = t.raw("events")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    batch = F.least(F.expr(f"event_id * {SLICES} div {most + 1}") + (F.col("event_id") % 7 == 0).cast("int"), F.lit(SLICES - 1))
+    for i in range(SLICES):
+        events.filter(batch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _kept(t: DriverTables) -> ledger.Ledger:
+    folder = _folder(t)
+    rows = _sliced(t, folder).select("event_id", "user_id", "event_type", "ts")
+    schema = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz"
+    own = ledger.Ledger(t.spark, f"{folder}/table", ["user_id", "event_type"], ["event_id"], schema, merge_every=2)
+    ledger.ingest(rows, own, "ts", 3600, f"{folder}/state").awaitTermination()
+    return own
+
+
+@query("stream_ledger", f"""{_LEDGER_SQL} select user_id, event_type, event_id, {sql_ts('ts')} as ts from r where not late
+    qualify row_number() over (partition by user_id, event_type order by batch desc, event_id desc) = 1""")
+def stream_ledger(t: DriverTables) -> DataFrame:
+    """The merged table: of the rows in time, the last one per key."""
+    return _kept(t).table().select("user_id", "event_type", "event_id", ts("ts"))
+
+
+@query("stream_late_rows", f"""{_LEDGER_SQL} select batch::bigint as batch, count(*) as n_rows, count(*) filter (late) as n_late, sum(case when late then event_id end)::bigint as late_ids from r group by batch""")
+def stream_late_rows(t: DriverTables) -> DataFrame:
+    """Progress of each batch beside the rows that came too late for it."""
+    own = _kept(t)
+    done = t.spark.read.parquet(f"{own.path}/progress").select(F.col("batch").cast("bigint").alias("batch"), "n_rows", "n_late")
+    late = t.spark.read.parquet(f"{own.path}/late").groupBy(F.col("batch").cast("bigint").alias("batch")).agg(F.sum("event_id").alias("late_ids"))
+    return done.join(late, "batch", "left")

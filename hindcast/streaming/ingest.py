@@ -1,4 +1,4 @@
-"""Streaming ingestion: de-duplication, keyed upserts and late rows."""
+"""Streaming ingestion: de-duplication and keyed upserts as an append-only log (``ledger`` merges one)."""
 
 from __future__ import annotations
 
@@ -31,16 +31,3 @@ def latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) ->
     """The entity table a change log stands for: last write wins per key."""
     log = spark.read.parquet(path)
     return keep_latest(log, keys, ["batch", *order]).drop("batch")
-
-
-def split_late(rows: DataFrame, watermark: str, ts: str) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows of a batch against the watermark reached before it."""
-    mark = F.lit(watermark).cast("timestamp")
-    return rows.filter(F.col(ts) >= mark), rows.filter(F.col(ts) < mark)
-
-
-def progress(query: StreamingQuery) -> dict[str, str | None]:
-    """Watermark and newest event time of the last micro-batch."""
-    last = query.lastProgress or {}
-    seen = dict(last.get("eventTime") or {})
-    return {"watermark": seen.get("watermark"), "max": seen.get("max")}
