@@ -124,6 +124,35 @@ def _priors(t: DriverTables) -> DataFrame:
     return ft.repo_priors(fr.bare_cohort(t), t.pull_requests, fr.heads(t), t.pr_files, t.request_events, fr.activity(t))
 
 
+MEDIANS_SQL = {
+    **{k: PRIORS_SQL[k] for k in ("cohort", "cuts", "win", "sz", "hi", "hs")},
+    "head_files": "select p.pr_id, p.repo_id, p.base_sha, f.head_sha, f.path from pull_requests p join pr_files f using (pr_id)",
+    "rules": RULES_SQL, "oh": OWNER_HITS_SQL,
+    "own": "select f.pr_id, f.head_sha, count(distinct f.path) as n, count(distinct o.path) as hits from head_files f left join oh o on o.pr_id = f.pr_id and o.path = f.path where (f.repo_id, f.base_sha) in (select (repo_id, base_sha) from rules) group by all",
+    "fr": "select pr_id, min(submitted_at) as first from reviews group by 1",
+    "ms": """select w.repo_id, w.cutoff, quantile_cont(coalesce(h.n, 0), 0.5) as f, quantile_cont(coalesce(h.ch, 0), 0.5) as c from win w
+        left join hs h on h.pr_id = w.pr_id and h.occurred_at <= w.cutoff and (h.end_ts is null or w.cutoff < h.end_ts) group by all""",
+    "mw": "select w.repo_id, w.cutoff, median(floor(greatest(epoch(r.first - w.created_at), 0))) as m from win w join fr r on r.pr_id = w.pr_id and r.first <= w.cutoff group by all",
+    "oc": """select w.repo_id, w.cutoff, avg(o.hits / o.n) as r from win w join hi h on h.pr_id = w.pr_id and h.occurred_at <= w.cutoff and (h.end_ts is null or w.cutoff < h.end_ts)
+        join own o on o.pr_id = h.pr_id and o.head_sha = h.head_sha group by all""",
+}
+
+
+@query("repo_medians", with_views(["reviews", "pull_requests", "users", "head_events", "pr_files", "ownership_lines"], """select c.repo_id, strftime(c.cutoff, '%Y-%m-%d %H:%M:%S') as cutoff, coalesce(s.f, 0)::double as median_files, coalesce(s.c, 0)::double as median_churn,
+    w.m::double as median_ttfr, round(coalesce(o.r, 0), 7) as owner_coverage_rate from cuts c left join ms s on s.repo_id = c.repo_id and s.cutoff = c.cutoff left join mw w on w.repo_id = c.repo_id and w.cutoff = c.cutoff
+    left join oc o on o.repo_id = c.repo_id and o.cutoff = c.cutoff""", MEDIANS_SQL))
+def repo_medians(t: DriverTables) -> DataFrame:
+    from hindcast.operators.ownership import file_owner_hits
+
+    paths = t.pr_files.join(t.pull_requests.select("pr_id", "repo_id", "base_sha"), "pr_id")
+    rules = fr.owner_rules(t)
+    hits = file_owner_hits(paths.select("pr_id", "repo_id", "base_sha", "path").distinct(), rules).select("pr_id", "path", F.lit(1).alias("hit")).distinct()
+    ruled = paths.join(rules.select("repo_id", "base_sha").distinct(), ["repo_id", "base_sha"], "left_semi")
+    owned = ruled.join(hits, ["pr_id", "path"], "left").groupBy("pr_id", "head_sha").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    m = ft.repo_medians(fr.bare_cohort(t), t.pull_requests, fr.heads(t), t.pr_files, t.reviews, owned)
+    return m.select("repo_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"), "median_files", "median_churn", "median_ttfr", num("owner_coverage_rate", 7))
+
+
 @query("size_zscores", with_views(["reviews", "comments", "users", "head_events", "pr_files", "request_events"], """select c.pr_id, round(case when (w.prs * w.f2 - w.f * w.f) > 0 then (coalesce(h.n, 0) - w.f / w.prs) / (sqrt((w.prs * w.f2 - w.f * w.f)::double) / w.prs) else 0 end, 6) as files_zscore
     from cohort c join wf w on w.repo_id = c.repo_id and w.cutoff = c.cutoff left join hs h on h.pr_id = c.pr_id and h.occurred_at <= c.cutoff and (h.end_ts is null or c.cutoff < h.end_ts)""", PRIORS_SQL))
 def size_zscores(t: DriverTables) -> DataFrame:

@@ -10,6 +10,7 @@ from hindcast.functions import text as X
 from hindcast.functions.stats import grouped_entropy, response_bucket, safe_ratio, seconds_between, zscore
 from hindcast.operators import activity as act
 from hindcast.operators.asof import within_days
+from hindcast.session import stored
 
 FOOTPRINT_N = 12
 WINDOWS = [7, 30, 90, 180]
@@ -213,6 +214,47 @@ def repo_priors(cohort: DataFrame, prs: DataFrame, heads: DataFrame, files: Data
         safe_ratio(F.col("requested"), F.col("prs")).alias("request_rate"), safe_ratio(F.col("bots"), F.col("events")).alias("bot_activity_rate"))
 
 
+def repo_medians(cohort: DataFrame, prs: DataFrame, heads: DataFrame, files: DataFrame, reviews: DataFrame, owned: DataFrame,
+                 days: int = 180) -> DataFrame:
+    """Medians of files, churn and seconds to the first review of the recent pull requests, and their mean owner coverage.
+
+    ``owned``: (pr_id, head_sha, n, hits), the paths of a head whose repository has ownership rules, and how many of them have an owner.
+    Pull requests without files count as 0, those without a review do not count; a repository
+    without a reviewed pull request has no median time.
+    """
+    from hindcast.operators.quantiles import open_medians
+
+    window = F.expr(f"interval '{days}' day")
+    life = prs.select("repo_id", "pr_id", F.col("created_at").alias("born"), (F.col("created_at") + window).alias("dies"))
+    sizes = files.groupBy("pr_id", "head_sha").agg(F.count("*").alias("files"), F.sum(F.coalesce("changes", F.lit(0))).alias("churn"))
+    shaped = life.join(heads.select("pr_id", "head_sha", "start_ts", "end_ts"), "pr_id")
+    until = F.least(F.coalesce("end_ts", "dies"), F.col("dies")).alias("until")
+    open_end = (F.col("end_ts").isNull() | (F.col("end_ts") > F.col("dies"))).alias("closed")
+    shaped = shaped.select("repo_id", "pr_id", "head_sha", F.greatest("start_ts", "born").alias("from"), until, open_end).filter("from < until or (closed and from = until)")
+    sized = shaped.join(sizes, ["pr_id", "head_sha"])
+    span = ["repo_id", "from", "until", "closed"]
+    values = [sized.select(*span, F.lit(k).alias("measure"), F.col(k).alias("value")) for k in ("files", "churn")]
+    first = reviews.groupBy("pr_id").agg(F.min("submitted_at").alias("first"))
+    wait = F.floor(seconds_between(F.col("first"), F.col("born")))
+    values.append(life.join(first, "pr_id").filter(F.col("first") <= F.col("dies")).select(
+        "repo_id", F.greatest("first", "born").alias("from"), F.col("dies").alias("until"), F.lit(True).alias("closed"), F.lit("wait").alias("measure"), wait.alias("value")))
+    asks = cohort.select("repo_id", "cutoff").distinct()
+    lives = life.select("repo_id", "born", "dies", F.lit(True).alias("closed"), F.lit(1).alias("prs"))
+    members = stored(act.span_sums(asks, lives, ["repo_id"], "born", "dies", "closed", ["prs"]))
+    sized_asks = members.select("repo_id", "cutoff", "prs", F.explode(F.array(F.lit("files"), F.lit("churn"))).alias("measure"))
+    keys = ["repo_id", "measure"]
+    size = open_medians(sized_asks, values[0].unionByName(values[1]), keys, "from", "until", "closed", "value", "prs")
+    late = open_medians(asks.withColumn("measure", F.lit("wait")), values[2], keys, "from", "until", "closed", "value")
+    pick = lambda k: F.max(F.when(F.col("measure") == k, F.col("median")))
+    medians = size.unionByName(late).groupBy("repo_id", "cutoff").agg(
+        F.coalesce(pick("files"), F.lit(0.0)).alias("median_files"), F.coalesce(pick("churn"), F.lit(0.0)).alias("median_churn"), pick("wait").alias("median_ttfr"))
+    # Shares as whole billionths, so that sums do not depend on their order.
+    covered = shaped.join(owned.filter("n > 0"), ["pr_id", "head_sha"]).select(*span, F.round(F.col("hits") * 1_000_000_000 / F.col("n")).cast("bigint").alias("share"), F.lit(1).alias("heads"))
+    cover = act.span_sums(asks, covered, ["repo_id"], "from", "until", "closed", ["share", "heads"])
+    rate = safe_ratio(F.col("share") / F.lit(1e9), F.col("heads"))
+    return medians.join(cover, ["repo_id", "cutoff"]).select("repo_id", "cutoff", "median_files", "median_churn", "median_ttfr", rate.alias("owner_coverage_rate"))
+
+
 def size_zscores(cohort: DataFrame, files: DataFrame, priors: DataFrame) -> DataFrame:
     """How unusual a pull request's size is for its repository."""
     size = files.groupBy("pr_id").agg(F.count("*").alias("f"), F.sum(F.coalesce("changes", F.lit(0))).alias("c"))
