@@ -224,20 +224,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared.value)
         for batch in batches:
-            parts = ([], [], [], [])
-            total = 0
-            for _, buf, offsets in arrays.slices(batch.column(text_col)):
+            for row, buf, offsets in arrays.slices(batch.column(text_col)):  # a batch of bounded bytes for each slice
                 ids, per, _, before = coder.round_trip(buf, offsets)
                 characters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
                 own = np.repeat(characters[offsets[:-1]], np.diff(per))
                 # A start inside a character belongs to the character that began before it.
                 begun = np.where((buf[before[:-1]] & 0xC0) == 0x80, 1, 0) if len(ids) else 0
-                for part, x in zip(parts, (ids, characters[before[:-1]] - begun - own, characters[before[1:]] - own, per[1:] + total)):
-                    part.append(x)
-                total += per[-1]
-            bounds = pa.array(np.concatenate([[0], *parts[3]]).astype(np.int32))
-            made = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, np.int64), *p]).astype(np.int32))) for p in parts[:3]]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept_columns] + made, [*kept_columns, "ids", "starts", "ends"])
+                bounds = pa.array(per.astype(np.int32))
+                parts = (ids, characters[before[:-1]] - begun - own, characters[before[1:]] - own)
+                made = [pa.ListArray.from_arrays(bounds, pa.array(p.astype(np.int32))) for p in parts]
+                rows = batch.slice(row, len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept_columns] + made, [*kept_columns, "ids", "starts", "ends"])
 
     return docs.mapInArrow(run, schema)
 

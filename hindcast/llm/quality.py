@@ -167,17 +167,17 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def cutoff(docs: DataFrame, labels: DataFrame, model: dict) -> float:
-    """The score below which a document is rejected, from the scores of all training rows.
+def cutoff(scored: DataFrame, labels: DataFrame) -> float:
+    """The score below which a document is rejected, from the scores (doc_id, score) of all training rows.
 
     Counts per mark and score (in steps of 1 / ``STEPS``) give both errors at every level; the level with the
     least ``GOOD_WEIGHT`` x share of good ones lost + share of bad ones kept is taken, the middle
     one of equal ones.  0 (nothing goes) where a mark has no rows.
     """
     marks = labelled.marks(labels, "quality", FOLDS, HELD)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id")
+    marked = scored.select(F.col("doc_id").cast("long").alias("doc_id"), "score").join(marks, "doc_id")
     step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
-    rows = scores(marked, model).groupBy("mark", step).count().collect()  # 2 x (STEPS + 1) rows at most
+    rows = marked.groupBy("mark", step).count().collect()  # 2 x (STEPS + 1) rows at most
     counts = np.zeros((2, STEPS + 2))
     for r in rows:
         counts[r["mark"], r["step"] + 1] += r["count"]

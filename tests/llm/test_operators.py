@@ -331,9 +331,10 @@ def test_cutoff_weighs_both_errors(spark):
     rows = [(i, f"{good} It is report {i}." if i % 2 else "BUY now $$$ ### click || free && win *** " * (1 + i % 3)) for i in range(600)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)] + [(7, None)], "doc_id long, quality int")
     model = quality.learn(docs, labels)
-    least = quality.cutoff(docs, labels, model)
-    assert {r["doc_id"] % 2 for r in quality.scores(docs, model).where(f"score >= {least}").collect()} == {1} and 0 < least <= 1
-    assert quality.cutoff(docs, labels.where("quality = 1"), model) == 0.0 and quality.cutoff(docs.limit(0), labels, model) == 0.0
+    scored = quality.scores(docs, model)
+    least = quality.cutoff(scored, labels)
+    assert {r["doc_id"] % 2 for r in scored.where(f"score >= {least}").collect()} == {1} and 0 < least <= 1
+    assert quality.cutoff(scored, labels.where("quality = 1")) == 0.0 and quality.cutoff(scored.limit(0), labels) == 0.0
 
 
 def test_folds(spark):
