@@ -28,8 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose preference score is not below the cutoff; the ranking is learned from the marks."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.learn(docs, labels)
-    return _documents(quality.scores(_documents(docs), model).where(F.col("score") >= quality.cutoff(docs, labels, model)))
+    scored = kept(quality.scores(_documents(docs), quality.learn(docs, labels)), "scored")
+    return _documents(scored.where(F.col("score") >= quality.cutoff(scored, labels)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
