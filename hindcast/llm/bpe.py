@@ -34,6 +34,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from hindcast.llm import arrays
 
 CACHE = 1_500_000  # distinct pre-tokens a worker remembers, about 60 bytes each
+# Beside columns of ids and offsets less is remembered, and slices are shorter.
+BESIDE_LISTS, SHORT = 400_000, arrays.SLICE // 4
 LETTER, DIGIT, WHITE, OTHER = 0, 1, 2, 3
 APOSTROPHE = 39
 
@@ -123,6 +125,7 @@ class Coder:
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        self.most = CACHE
         self._forget()
 
     def _forget(self) -> None:
@@ -163,7 +166,7 @@ class Coder:
         place = np.searchsorted(self.keys, key)
         new = (place == len(self.keys)) | (self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] != key) if len(self.keys) else np.ones(len(key), bool)
         if new.any():
-            if len(self.keys) > CACHE:
+            if len(self.keys) > self.most:
                 self._forget()
                 new[:] = True
             self._learn(key[new], [raw[s:e].decode("utf-8") for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
@@ -223,8 +226,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared.value)
+        coder.most = BESIDE_LISTS
         for batch in batches:
-            for row, buf, offsets in arrays.slices(batch.column(text_col)):  # a batch of bounded bytes for each slice
+            for row, buf, offsets in arrays.slices(batch.column(text_col), SHORT):  # a batch of bounded bytes for each slice
                 ids, per, _, before = coder.round_trip(buf, offsets)
                 characters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
                 own = np.repeat(characters[offsets[:-1]], np.diff(per))
