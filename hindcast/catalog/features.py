@@ -139,7 +139,7 @@ MEDIANS_SQL = {
 
 
 @query("repo_medians", with_views(["reviews", "pull_requests", "users", "head_events", "pr_files", "ownership_lines"], """select c.repo_id, strftime(c.cutoff, '%Y-%m-%d %H:%M:%S') as cutoff, coalesce(s.f, 0)::double as median_files, coalesce(s.c, 0)::double as median_churn,
-    w.m::double as median_ttfr, round(coalesce(o.r, 0), 7) as owner_coverage_rate from cuts c left join ms s on s.repo_id = c.repo_id and s.cutoff = c.cutoff left join mw w on w.repo_id = c.repo_id and w.cutoff = c.cutoff
+    w.m::double as median_ttfr, round(coalesce(o.r, 0) + 1e-8, 6) as owner_coverage_rate from cuts c left join ms s on s.repo_id = c.repo_id and s.cutoff = c.cutoff left join mw w on w.repo_id = c.repo_id and w.cutoff = c.cutoff
     left join oc o on o.repo_id = c.repo_id and o.cutoff = c.cutoff""", MEDIANS_SQL))
 def repo_medians(t: DriverTables) -> DataFrame:
     from hindcast.operators.ownership import file_owner_hits
@@ -150,7 +150,7 @@ def repo_medians(t: DriverTables) -> DataFrame:
     ruled = paths.join(rules.select("repo_id", "base_sha").distinct(), ["repo_id", "base_sha"], "left_semi")
     owned = ruled.join(hits, ["pr_id", "path"], "left").groupBy("pr_id", "head_sha").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
     m = ft.repo_medians(fr.bare_cohort(t), t.pull_requests, fr.heads(t), t.pr_files, t.reviews, owned)
-    return m.select("repo_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"), "median_files", "median_churn", "median_ttfr", num("owner_coverage_rate", 7))
+    return m.select("repo_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"), "median_files", "median_churn", "median_ttfr", num(F.col("owner_coverage_rate") + 1e-8, 6).alias("owner_coverage_rate"))
 
 
 @query("size_zscores", with_views(["reviews", "comments", "users", "head_events", "pr_files", "request_events"], """select c.pr_id, round(case when (w.prs * w.f2 - w.f * w.f) > 0 then (coalesce(h.n, 0) - w.f / w.prs) / (sqrt((w.prs * w.f2 - w.f * w.f)::double) / w.prs) else 0 end, 6) as files_zscore

@@ -48,10 +48,10 @@ FACTS_SQL = {
 VIEWS = ["pull_requests", "users", "reviews", "head_events", "pr_files", "ownership_lines"]
 
 
-@query("nearest_prs", with_views(VIEWS, "select pr_id, other, r as rank, round(score, 6) as score from top", NEAREST_SQL))
+@query("nearest_prs", with_views(VIEWS, "select pr_id, other, r as rank, round(score + 1e-10, 6) as score from top", NEAREST_SQL))
 def nearest_prs(t: DriverTables) -> DataFrame:
     rows = nr.stored(nr.versions(t.pull_requests, fr.heads(t), t.pr_files))
-    return nr.nearest(nr.stored(nr.asking(fr.bare_cohort(t), rows)), rows).select("pr_id", "other", F.col("rank").cast("bigint").alias("rank"), num("score", 6))
+    return nr.nearest(nr.stored(nr.asking(fr.bare_cohort(t), rows)), rows).select("pr_id", "other", F.col("rank").cast("bigint").alias("rank"), num(F.col("score") + 1e-10, 6).alias("score"))  # the offset keeps halves from falling either way
 
 
 @query("nearest_features", with_views(VIEWS, """select c.pr_id, coalesce(i.l, '') as topk_ids, round(w.s, 6) as mean_ttfr, round(coalesce(o.j, 0), 8) as owner_overlap, coalesce(h.l, '') as common_reviewers, coalesce(b.l, '') as common_boundaries
