@@ -240,7 +240,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 rows = batch.slice(row, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept_columns] + made, [*kept_columns, "ids", "starts", "ends"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(arrays.tidy(run), schema)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -143,7 +143,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return slim.mapInArrow(arrays.tidy(run), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _with_sets(docs: DataFrame, k: int) -> DataFrame:
                 made = [pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
                 yield pa.RecordBatch.from_arrays([own.column(c) for c in ("root", "node", "part", "hub")] + made, ["root", "node", "part", "hub", "n", "regs", "shingles"])
 
-    return docs.select("root", "node", "part", "hub", "text").mapInArrow(run, schema)
+    return docs.select("root", "node", "part", "hub", "text").mapInArrow(arrays.tidy(run), schema)
 
 
 class _Groups:
@@ -315,7 +315,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFra
     sets = kept(_with_sets(texts.join(placed, "node"), k), "sets")
 
     near = sets.where("part < 0").repartition("root").sortWithinPartitions("root").select("root", "node", "n", "regs", "shingles")
-    found = kept(near.mapInArrow(_decide(percent, ["root"]), LINKS), "found")
+    found = kept(near.mapInArrow(arrays.tidy(_decide(percent, ["root"])), LINKS), "found")
     if large.isEmpty():
         return found
 
@@ -323,7 +323,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFra
     hub = many.where("hub is not null").select("root", F.col("node").alias("b"), F.col("shingles").alias("hub_shingles")).join(large, "root")
     hub = hub.select("root", "b", "hub_shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = many.select("root", "part", F.col("node").alias("a"), "shingles").join(hub, ["root", "part"]).where("a <> b")
-    joined = kept(pairs.select("a", "b", "shingles", "hub_shingles").mapInArrow(_tested(percent), LINKS), "joined")
+    joined = kept(pairs.select("a", "b", "shingles", "hub_shingles").mapInArrow(arrays.tidy(_tested(percent)), LINKS), "joined")
 
     # What the hubs leave apart is the rest: members outside the component of the best hub.
     label = components(joined)

@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_mark: int = PER_MARK) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(rows, pa.binary())], ["doc_id", "mark", "x"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    got = slim.mapInArrow(numbers, "doc_id long, mark int, x binary").toPandas().sort_values(["doc_id", "x"])
+    got = slim.mapInArrow(arrays.tidy(numbers), "doc_id long, mark int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
     return fit(x, got["mark"].to_numpy())
 
@@ -164,7 +164,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
             made = pa.array(np.concatenate([np.empty(0), *out]))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [made], [*columns, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(arrays.tidy(run), schema)
 
 
 def cutoff(scored: DataFrame, labels: DataFrame) -> float:

@@ -76,7 +76,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["doc_id", "number", "leaf", "line", "width"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return slim.mapInArrow(run, OCCURRENCE)
+    return slim.mapInArrow(arrays.tidy(run), OCCURRENCE)
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("number", "leaf", "line")).alias("asked"))  # lines of one text
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("merge"), "doc_id")
-    return slim.mapInArrow(run, "leaf long, line long, tokens binary").dropDuplicates(["leaf", "line"])
+    return slim.mapInArrow(arrays.tidy(run), "leaf long, line long, tokens binary").dropDuplicates(["leaf", "line"])
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def templates(docs: DataFrame, found: DataFrame, least: int = DOCS) -> DataFrame
     tokens = _tokens(docs, active.select("doc_id", "number", "leaf", "line"))
     left = kept(active.select("leaf", "line", "docs", "large").join(tokens, ["leaf", "line"]), "tokens")
     small = left.where("not large").select("leaf", "line", "docs", "tokens").repartition("leaf").sortWithinPartitions("leaf")
-    chain = kept(small.mapInArrow(_lead, "leaf long, line long, lead long"), "lead").where("line <> lead")
+    chain = kept(small.mapInArrow(arrays.tidy(_lead), "leaf long, line long, lead long"), "lead").where("line <> lead")
     many = left.where("large").select("leaf", "line", "docs", "tokens")
     if not many.isEmpty():
         chain = chain.unionByName(kept(_led(many), "led"))
@@ -272,4 +272,4 @@ def dedup(docs: DataFrame, least: int = DOCS, text_col: str = "text") -> DataFra
             names = [*columns, "n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(arrays.tidy(run), schema)
