@@ -11,7 +11,7 @@ from hindcast.catalog.frames import ACTIVITY_SQL, COHORT_SQL
 from hindcast.catalog.registry import query
 from hindcast.functions import paths as P
 from hindcast.functions import text as X
-from hindcast.operators import compare, gates, metrics, truth
+from hindcast.operators import compare, gates, metrics, policies, truth
 from hindcast.plans import rankers
 from hindcast.session import stored
 from hindcast.sources.binding import DriverTables, with_views
@@ -220,6 +220,63 @@ def truth_multi_policy(t: DriverTables) -> DataFrame:
     return fr.labels(t, None, TRUTH_WINDOW).select("pr_id", "policy_id", "selected_login", "status")
 
 
+# --- truth policies with selectors ---------------------------------------------------
+CHOSEN_POLICIES = [
+    *policies.POLICIES,
+    truth.TruthPolicy("last_response_v1", sources=("reviews", "review_comments"), selector="last"),
+    truth.TruthPolicy("all_responders_v1", sources=("reviews", "review_comments", "review_requests"), selector="union"),
+]
+POLICY_VIEWS = [*TRUTH_VIEWS, "request_events", "teams"]
+POLICY_PARTS = {
+    "cohort": COHORT_SQL, "gaps": GAPS_SQL, "hor": TRUTH_PARTS["hor"], "gapf": TRUTH_PARTS["gapf"], "resp": TRUTH_PARTS["resp"],
+    "ev": """select pr_id, case when kind = 'review_submitted' then 'reviews' else 'review_comments' end as source, concat('user:', login) as target, user_id, login, type, ts, row_id, state as label from resp
+        union all select p.pr_id, 'events', concat('user:', u.login), u.user_id, u.login, u.type, p.merged_at, concat('merge-', p.pr_id), 'pull_request.merged'
+          from pull_requests p join lineitem l on l.l_orderkey = p.pr_id and l.l_linenumber = 1 join users u on u.user_id = l.l_suppkey * 2 + 1 where p.merged_at is not null
+        union all select r.pr_id, 'review_requests', concat('user:', u.login), r.reviewer_id, u.login, null, r.occurred_at, concat('user:', u.login), ''
+          from request_events r join users u on u.user_id = r.reviewer_id where r.op = 'add' and r.reviewer_type = 'user' and u.type <> 'Bot'
+        union all select r.pr_id, 'review_requests', concat('team:', m.slug), null, null, null, r.occurred_at, concat('team:', m.slug), ''
+          from request_events r join teams m on m.team_id = r.reviewer_id where r.op = 'add' and r.reviewer_type = 'team'""",
+    "rules": """select * from (values ('first_response_v1', 0, 'first', 'reviews', true, null), ('first_response_v1', 0, 'first', 'review_comments', true, null),
+        ('first_approval_v1', 0, 'first', 'reviews', true, 'APPROVED'), ('merger_v1', 0, 'first', 'events', false, 'pull_request.merged'),
+        ('hybrid_owner_v1', 0, 'first', 'reviews', true, 'APPROVED'), ('hybrid_owner_v1', 1, 'first', 'events', false, 'pull_request.merged'),
+        ('hybrid_owner_v1', 2, 'first', 'reviews', true, null), ('hybrid_owner_v1', 2, 'first', 'review_comments', true, null),
+        ('hybrid_owner_v1', 3, 'first', 'reviews', true, null), ('hybrid_owner_v1', 4, 'first', 'events', true, null), ('hybrid_owner_v1', 5, 'first', 'review_requests', true, null),
+        ('last_response_v1', 0, 'last', 'reviews', true, null), ('last_response_v1', 0, 'last', 'review_comments', true, null),
+        ('all_responders_v1', 0, 'union', 'reviews', true, null), ('all_responders_v1', 0, 'union', 'review_comments', true, null), ('all_responders_v1', 0, 'union', 'review_requests', true, null))
+        as v(policy_id, branch, selector, source, strict, wanted)""",
+    "met": f"""select c.repo_id, c.pr_id, c.cutoff, r.policy_id, r.branch, r.selector, e.target, e.ts, e.row_id from cohort c
+        join ev e on e.pr_id = c.pr_id and e.ts > c.cutoff and e.ts <= c.cutoff + {TRUTH_WINDOW} * interval '1' second join rules r on r.source = e.source
+        where (r.wanted is null or e.label = r.wanted)
+        and (not r.strict or (coalesce(e.type, '') <> 'Bot' and not suffix(lower(coalesce(e.login, '')), '[bot]') and (e.user_id is null or c.author_id is null or e.user_id <> c.author_id)))""",
+    "decisive": "select * from met qualify branch = min(branch) over (partition by pr_id, policy_id)",
+    "sel": """select repo_id, pr_id, cutoff, policy_id, branch, target, min(ts) over (partition by pr_id, policy_id, target) as first_ts from decisive
+        qualify selector = 'union' and row_number() over (partition by pr_id, policy_id, target order by ts) = 1
+        or selector = 'first' and row_number() over (partition by pr_id, policy_id order by ts, row_id, target) = 1
+        or selector = 'last' and row_number() over (partition by pr_id, policy_id order by ts desc, row_id desc, target desc) = 1""",
+}
+
+
+def _policy_rows(t: DriverTables) -> DataFrame:
+    return policies.evidence(truth.responses(t.reviews, t.comments, t.users), fr.merges(t), fr.requests(t), t.users, t.teams)
+
+
+@query("policy_targets", with_views(POLICY_VIEWS, f"select pr_id, policy_id, branch, target, {sql_ts('first_ts')} as first_ts from sel", POLICY_PARTS))
+def policy_targets(t: DriverTables) -> DataFrame:
+    return policies.selected(fr.bare_cohort(t), _policy_rows(t), CHOSEN_POLICIES, TRUTH_WINDOW).select(
+        "pr_id", "policy_id", "branch", "target", ts("first_ts"))
+
+
+@query("policy_answers", with_views(POLICY_VIEWS, f"""select c.pr_id, p.policy_id, s.branch, coalesce(s.n, 0) as n_targets, case when s.n = 1 then s.one end as target,
+    case when s.n > 0 then 'observed' when p.policy_id = 'merger_v1' or (h.horizon_max >= c.cutoff + {TRUTH_WINDOW} * interval '1' second and g.gap_resources is null) then 'no_post_cutoff_response'
+         else 'unknown_due_to_ingestion_gap' end as status
+    from cohort c cross join (select distinct policy_id from rules) p
+    left join (select pr_id, policy_id, min(branch) as branch, count(*) as n, min(target) as one from sel group by all) s on s.pr_id = c.pr_id and s.policy_id = p.policy_id
+    left join hor h on h.repo_id = c.repo_id left join gapf g on g.repo_id = c.repo_id""", POLICY_PARTS))
+def policy_answers(t: DriverTables) -> DataFrame:
+    return policies.answers(fr.bare_cohort(t), _policy_rows(t), fr.horizons(t), fr.gap_rows(t), CHOSEN_POLICIES, window_seconds=TRUTH_WINDOW).select(
+        "pr_id", "policy_id", "branch", "n_targets", "target", "status")
+
+
 REQUEST_SQL = """select *, min(case when op = 'remove' then occurred_at end) over (partition by pr_id, reviewer_id order by occurred_at, event_id
     rows between 1 following and unbounded following) as end_ts from request_events"""
 _TARGET_JOIN = """left join users u on reviewer_type = 'user' and u.user_id = reviewer_id and u.type <> 'Bot' left join teams tm on reviewer_type = 'team' and tm.team_id = reviewer_id"""

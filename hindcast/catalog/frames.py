@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions import text as X
-from hindcast.operators import asof, cohort as co, intervals, metrics, ownership, truth
+from hindcast.operators import asof, cohort as co, intervals, metrics, ownership, policies, truth
 from hindcast.plans import rankers
 from hindcast.session import stored
 from hindcast.sources.binding import DriverTables
@@ -43,6 +43,13 @@ def requests(t: DriverTables) -> DataFrame:
     return intervals.review_requests(t.request_events)
 
 
+def merges(t: DriverTables) -> DataFrame:
+    """Merge events; whoever stands in a pull request's first line merged it."""
+    who = t.raw("lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey as pr_id", "l_suppkey * 2 + 1 as user_id")
+    return t.pull_requests.filter("merged_at is not null").select("pr_id", F.col("merged_at").alias("ts")).join(who, "pr_id").select(
+        "pr_id", "user_id", "ts", F.concat(F.lit("merge-"), "pr_id").alias("row_id"), F.lit(policies.MERGED).alias("event_type"))
+
+
 def head_files(t: DriverTables) -> DataFrame:
     """Files at the latest head started by the cutoff: (pr_id, repo_id, cutoff, base_sha, path, …)."""
     base = bare_cohort(t).select("pr_id", "repo_id", "cutoff", "base_sha")
