@@ -15,6 +15,7 @@ def load():
         roundtrips,
         streams,
         similarity,
+        runs,
     )
 
     return registry.callables(), dict(registry.ORACLE)

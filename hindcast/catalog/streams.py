@@ -63,6 +63,20 @@ def stream_window_counts(t: DriverTables) -> DataFrame:
     return _drain(t, windows.trailing_counts(events, ["event_type"], "ts")).select("event_type", ts("window_start"), "n")
 
 
+@query("stream_day_counts", """with d as (select event_type, user_id % 50 as grp, cast(ts as date) as day, count(*) as n from events
+    where date_trunc('day', ts) + interval '1' day <= (select date_trunc('millisecond', max(ts)) - interval '1' day from events) group by all),
+    c as (select distinct event_type, grp, cast(day + w.w as date) as day from d, (values (0), (30), (90), (180)) w(w))
+    select event_type, grp, strftime(c.day, '%Y-%m-%d') as day, cast(coalesce(sum(d.n) filter (d.day > c.day - 30), 0) as bigint) as n_30,
+    cast(coalesce(sum(d.n) filter (d.day > c.day - 90), 0) as bigint) as n_90, cast(coalesce(sum(d.n) filter (d.day > c.day - 180), 0) as bigint) as n_180
+    from c left join d using (event_type, grp) where d.day <= c.day group by event_type, grp, c.day""")
+def stream_day_counts(t: DriverTables) -> DataFrame:
+    """Counts of 30, 90 and 180 days from the day totals of a stream."""
+    events = _stream(t, "events").select("event_type", (F.col("user_id") % 50).alias("grp"), F.col("ts").cast("timestamp").alias("ts"))
+    days = _drain(t, windows.day_totals(events, ["event_type", "grp"], "ts"))
+    counts = windows.counts_from_days(days, ["event_type", "grp"], [30, 90, 180])
+    return counts.select("event_type", "grp", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_30", "n_90", "n_180")
+
+
 @query("stream_first_response", f"""select pr_id, {sql_ts('min(submitted_at)')} as first_response from (select o_orderkey as pr_id, {CREATED_AT} as created_at from orders) p
     join (select l_orderkey as pr_id, {ACTED_AT} as submitted_at from lineitem where l_linenumber <= 4) r using (pr_id) where submitted_at > created_at and submitted_at <= created_at + interval '60' day group by pr_id""")
 def stream_first_response(t: DriverTables) -> DataFrame:

@@ -1,8 +1,9 @@
 """Evaluation runs on disk: an index over the files of many runs, and rows rebuilt from single artefacts.
 
 A run is the folder ``<root>/<owner>/<name>/eval/<run_id>`` with ``run_summary.json``,
-``manifest.json``, ``report.json``, ``experiment_manifest.json``, ``per_pr.jsonl`` (a file, or a
-folder of parts as Spark writes it), ``artifact_index.jsonl`` and artefacts below it.  Folders whose
+``manifest.json``, ``report.json``, ``experiment_manifest.json``, ``per_pr.jsonl``,
+``artifact_index.jsonl`` and artefacts below it.  Each may be a folder as Spark writes it: documents
+with one part, lines with many.  Folders whose
 name starts with an underscore are no runs.  Texts that are no JSON objects, and objects that name
 a key twice, count as absent.  All functions read the files of all runs in one scan each.
 """
@@ -90,7 +91,7 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
     """
     docs = run_files(spark, root, "{" + ",".join(f"{d}.json" for d in DOCUMENTS) + "}", content=True)
     lines = run_files(spark, root, "per_pr.jsonl").select(*RUN, F.lit("per_pr").alias("doc"), F.lit(None).cast("string").alias("text"))
-    every = docs.select(*RUN, F.regexp_replace("file", r"[.]json$", "").alias("doc"), "text").unionByName(lines)
+    every = docs.select(*RUN, F.regexp_extract("file", "^([a-z_]+)[.]json", 1).alias("doc"), "text").unionByName(lines)
     one = every.groupBy(*RUN).agg(*[F.max(F.when(F.col("doc") == d, F.col("text"))).alias(d) for d in DOCUMENTS],
                                   *[F.max(F.col("doc") == d).alias(f"has_{d}") for d in ["per_pr", "report", "manifest"]])
     parsed = one.select("*", *[F.try_parse_json(d).alias(f"v_{d}") for d in DOCUMENTS])
