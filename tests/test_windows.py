@@ -55,3 +55,25 @@ def test_most_recent_rows(spark):
     for pr, g, c in [(1, 0, BASE + timedelta(days=40)), (2, 1, BASE + timedelta(days=25))]:
         want = sorted([(t, m) for gg, m, t, _ in rows if gg == g and c - timedelta(days=30) <= t <= c], key=lambda x: (-x[0].timestamp(), x[1]))[:10]
         assert sorted((r.ts, r.m) for r in got.filter(F.col("pr") == pr).collect()) == sorted(want)
+
+
+def test_windowed_top_drops_members_that_cannot_reach_the_top(spark):
+    from hindcast.operators import toplist
+
+    rng = random.Random(8)
+    strong = [(0, f"s{i}", BASE + timedelta(minutes=30 * j + i), 1) for i in range(4) for j in range(0, 48 * 60, 3)]
+    weak = [(0, f"w{i:03}", BASE + timedelta(minutes=rng.randrange(60 * 24 * 60)), 1) for i in range(200) for _ in range(3)]
+    rows = strong + weak
+    cuts = [BASE + timedelta(minutes=rng.randrange(60 * 24 * 30, 60 * 24 * 60)) for _ in range(30)]
+    acts = spark.createDataFrame(rows, "g int, m string, ts timestamp, value long")
+    asked = spark.createDataFrame([(0, c) for c in cuts], "g int, cutoff timestamp")
+    hour = F.floor(F.unix_seconds("ts") / 3600).cast("bigint")
+    cut = acts.filter(F.col("ts") >= F.lit(BASE + timedelta(days=22))).select("g", "m", F.col("ts").alias("_ts"), F.col("value").alias("_v"), hour.alias("_b"))
+    left = toplist._contending(cut.withColumn("_p", F.floor(F.col("_b") / 48).cast("bigint")), ["g"], "m", 3, 10, True)
+    first = min(r._p for r in left.select("_p").distinct().collect())
+    assert {r.m for r in left.filter(F.col("_p").between(first + 12, first + 15)).select("m").distinct().collect()} <= {f"s{i}" for i in range(4)}
+    got = {(r.cutoff, r.m): r.total for r in windowed_top(asked, acts, ["g"], "m", 3, 20 * 86400).collect()}
+    for c in cuts:
+        counts = Counter(m for _, m, t, _ in rows if c - timedelta(days=20) <= t <= c)
+        want = sorted((-n, m) for m, n in counts.items())[:3]
+        assert [(m, got[c, m]) for _, m in want] == [(m, -n) for n, m in want] and sum(k[0] == c for k in got) == len(want)
