@@ -72,3 +72,30 @@ def test_truth_window_bots_author_and_status(spark):
     assert _truth(spark, [("4", 100, 11, "APPROVED", m(61))], [], late)["first_response_v1"] == (None, "no_post_cutoff_response")
     assert _truth(spark, [("4", 100, 11, "APPROVED", m(61))], [(1, "reviews")], late)["first_response_v1"][1] == "unknown_due_to_ingestion_gap"
     assert _truth(spark, [("4", 100, 11, "APPROVED", m(61))], [(1, "tags")], m(30))["first_response_v1"][1] == "unknown_due_to_ingestion_gap"
+
+
+def test_shares_are_exact_fractions(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from hindcast.operators import boundary as bd
+
+    # 20 x 28 + 7 x 80 x ... : file a/x is in 16 pull requests with many other files, so that shares end in a 5 at the ninth digit.
+    rows = []
+    for prs, others in ((30, 280), (93, 100), (16, 320), (58, 200), (65, 180), (72, 160)):
+        for p in range(prs):
+            rows.append((prs, p, "a/x"))
+            rows += [(prs, p, f"b{j % 3}/{j}") for j in range(others // prs + (p < others % prs))]
+    sets = spark.createDataFrame(rows, "repo_id int, pr_id int, path string")
+    got = {(r.repo_id, r.boundary_id): r.weight for r in bd.memberships(sets).filter("path = 'a/x'").collect()}
+    for repo in {r[0] for r in rows}:
+        prs = [p for rp, p, f in rows if rp == repo and f == "a/x"]
+        parts = {"dir:a": 20 * len(prs)}
+        for rp, _, f in rows:
+            if rp == repo and f != "a/x":
+                parts["dir:" + f.split("/")[0]] = parts.get("dir:" + f.split("/")[0], 0) + 7
+        whole = sum(parts.values())
+        for b, part in parts.items():
+            exact = Fraction(part, whole)
+            digits = (Decimal(exact.numerator) / Decimal(exact.denominator)).quantize(Decimal("1e-8"), ROUND_HALF_UP)
+            assert got[repo, b] == float(digits)
