@@ -264,3 +264,24 @@ def test_new_queries_equal_their_sql(spark, sf_dir, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(cols, cur.fetchall())
+
+
+def test_every_pair_of_copied_images_is_a_link(spark):
+    from itertools import combinations
+
+    from hindcast.llm import media
+
+    rng = np.random.default_rng(21)
+    greys = [media.drawn(v) for v in rng.normal(0, 0.125, (3, 64))]
+    made = [(10 * i + j, media.write_pgm(np.clip(np.rint(g * (0.8 + 0.04 * j) + 3 * j), 0, 255).astype(np.uint8))) for i, g in enumerate(greys) for j in range(5)]
+    read = {i: media.describe(media.read_pgm(c)[None])[0] for i, c in made}
+    words = {i: set((d[1].astype(np.int64) + (np.arange(4) << 32)).ravel().tolist()) for i, d in read.items()}
+    want = dict.fromkeys(read, 0)
+    for b, a in combinations(sorted(read), 2):
+        if len(words[a] & words[b]) >= media.SHARED and media.agreeing(read[a], read[b]) >= media.INLIERS:
+            want[a] += 1
+            want[b] += 1
+    assert min(want.values()) >= 3
+    got = media.copies(spark.createDataFrame(made, "image_id long, content binary")).collect()
+    assert {r.image_id: r.n_links for r in got} == want
+    assert {r.group_id for r in got} == {0, 10, 20}
