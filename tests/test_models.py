@@ -99,3 +99,15 @@ def test_shares_are_exact_fractions(spark):
             exact = Fraction(part, whole)
             digits = (Decimal(exact.numerator) / Decimal(exact.denominator)).quantize(Decimal("1e-8"), ROUND_HALF_UP)
             assert got[repo, b] == float(digits)
+
+
+def test_growing_models_equal_models_built_anew(spark):
+    from hindcast.operators import boundary as bd
+
+    rows = [(r, 3 + p % 4, p, f"{'abc'[(p + j) % 3]}/{(p * j) % 5}") for r in (0, 1) for p in range(20) for j in range(3)]
+    rows = [x for x in rows if x[1] != 5]
+    born = spark.createDataFrame(rows, "r long, m long, pr_id int, path string").distinct()
+    got = bd.growing_memberships(born.selectExpr("r * 100 + m as repo_id", "pr_id", "path"), 8, 100)
+    again = born.selectExpr("explode(sequence(m, 8L)) as q", "r", "pr_id", "path").selectExpr("r * 100 + q as repo_id", "pr_id", "path")
+    key = lambda df: sorted(tuple(r) for r in df.select("repo_id", "path", "boundary_id", "weight").collect())
+    assert key(got) == key(bd.memberships(again)) and {r.repo_id for r in got.collect()} == {r * 100 + q for r in (0, 1) for q in range(3, 9)}
