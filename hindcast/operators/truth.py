@@ -45,8 +45,8 @@ BUILTIN_POLICIES = [
 ]
 
 
-def responses(reviews: DataFrame, comments: DataFrame, users: DataFrame) -> DataFrame:
-    """Reviews and review comments with the acting user, one row each."""
+def responses(reviews: DataFrame, comments: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Reviews and review comments, one row each, with the acting user (without ``users``: only the user's id)."""
     rows = reviews.filter(F.col("submitted_at").isNotNull()).select(
         "pr_id", "user_id", F.col("submitted_at").alias("ts"), F.col("review_id").alias("row_id"),
         F.upper(F.coalesce("state", F.lit(""))).alias("state"), F.lit("review_submitted").alias("kind"),
@@ -55,6 +55,11 @@ def responses(reviews: DataFrame, comments: DataFrame, users: DataFrame) -> Data
             "pr_id", "user_id", F.col("created_at").alias("ts"), F.col("comment_id").alias("row_id"),
             F.lit("").alias("state"), F.lit("review_comment").alias("kind"))
     )
+    return rows if users is None else named(rows, users)
+
+
+def named(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows of known users with their login and type."""
     return rows.join(users.filter(F.col("login").isNotNull()).select("user_id", "login", "type"), "user_id")
 
 
@@ -66,13 +71,14 @@ def gap_flags(gaps: DataFrame) -> DataFrame:
 
 def label(
     cohort: DataFrame, rows: DataFrame, horizons: DataFrame, gaps: DataFrame, policies: list[TruthPolicy],
-    window_seconds: int | None = None,
+    window_seconds: int | None = None, users: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (pull request, policy): the selected responder, counts and status.
 
     ``cohort``: (repo_id, pr_id, cutoff, author_id).  All policies are answered by
     one pass over the responses; ``window_seconds`` overrides every policy's own.
-    The window is open at the cutoff and closed at its end.
+    The window is open at the cutoff and closed at its end.  With ``users`` the rows carry ids only and
+    get their names inside the window: what lies outside never moves to the users.
     """
     ready = [p for p in policies if p.ready]
     width = {p.id: window_seconds or p.window_seconds for p in policies}
@@ -106,11 +112,9 @@ def label(
             (scanned("review_comment") if "review_comments" in p.sources else F.lit(0)).alias(f"_comments{i}"),
         ]
     widest = max([width[p.id] for p in ready], default=0)
-    found = (
-        cohort.select(*ids, "author_id").join(rows, "pr_id")
-        .filter((F.col("ts") > F.col("cutoff")) & (F.col("ts") <= F.col("cutoff") + F.expr(f"interval '{widest}' second")))
-        .groupBy(*ids).agg(*aggregates)
-    )
+    near = cohort.select(*ids, "author_id").join(rows, "pr_id").filter(
+        (F.col("ts") > F.col("cutoff")) & (F.col("ts") <= F.col("cutoff") + F.expr(f"interval '{widest}' second")))
+    found = (near if users is None else named(near, users)).groupBy(*ids).agg(*aggregates)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     per_policy = []
     for p in policies:
