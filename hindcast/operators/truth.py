@@ -63,6 +63,13 @@ def named(rows: DataFrame, users: DataFrame) -> DataFrame:
     return rows.join(users.filter(F.col("login").isNotNull()).select("user_id", "login", "type"), "user_id")
 
 
+def near(rows: DataFrame, cohort: DataFrame, window_seconds: int) -> DataFrame:
+    """The rows later than the first cutoff of their pull request and no later than ``window_seconds`` after its last."""
+    bounds = cohort.groupBy("pr_id").agg(F.min("cutoff").alias("_after"), F.max("cutoff").alias("_until"))
+    return rows.join(bounds, "pr_id").filter(
+        (F.col("ts") > F.col("_after")) & (F.col("ts") <= F.col("_until") + F.expr(f"interval '{window_seconds}' second"))).drop("_after", "_until")
+
+
 def gap_flags(gaps: DataFrame) -> DataFrame:
     """Repositories with an ingestion gap in a resource the truth depends on."""
     return gaps.filter(F.col("resource").isin(*GAP_RESOURCES)).groupBy("repo_id").agg(

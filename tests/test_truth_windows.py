@@ -28,3 +28,14 @@ def test_labels_name_users_inside_the_window_only(spark):
     late = truth.label(cohort, truth.responses(reviews, none), horizons, gaps, truth.BUILTIN_POLICIES, users=users)
     assert sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
     assert {r.selected_login for r in late.filter("policy_id = 'first_response_v1'").collect()} == {"eve"}
+
+
+def test_near_keeps_what_some_cutoff_may_use(spark):
+    cohort, reviews, none, users, _, _ = _tables(spark)
+    again = cohort.unionByName(cohort.filter("pr_id = 1").withColumn("cutoff", F.expr("cutoff + interval '6' day")))
+    kept = truth.near(truth.responses(reviews, none), again, 3600)
+    got = sorted((r.pr_id, r.ts) for r in kept.collect())
+    want = sorted((r.pr_id, r.submitted_at) for r in reviews.collect() if BASE + timedelta(days=r.pr_id) < r.submitted_at
+                  <= BASE + timedelta(days=7 if r.pr_id == 1 else r.pr_id, hours=1))
+    assert got == want
+    assert "login" not in kept.columns and {r.login for r in truth.named(kept, users).collect()} <= {"ann", "bob", "ci", "eve"}
