@@ -107,7 +107,8 @@ def snapshot(cohort: DataFrame, prs: DataFrame, content: DataFrame, heads: DataF
     own = [F.col(c) if has_pr_text else F.lit(None).cast("string") for c in ("title", "body")]
     linked = F.col("issue_id").isNotNull()
     return (
-        base.join(text, ids, "left").join(head, ids, "left").join(names, "author_id", "left")
+        # Names first: what moves to the authors holds no text.
+        base.join(names, "author_id", "left").join(text, ids, "left").join(head, ids, "left")
         .withColumn("as_of_title", F.when(linked, F.col("c_title")).otherwise(own[0]))
         .withColumn("as_of_body", F.when(linked, F.col("c_body")).otherwise(own[1]))
         .withColumn("missing_content", linked & F.col("has_content").isNull())
