@@ -4,24 +4,25 @@ An event opens an interval, closes all open ones of its key, or does both:
 states and contents close and open, memberships open on ``add`` and close on ``remove``, comments
 open on ``created`` and ``edited`` and close on ``edited`` and ``deleted``.
 
-Events may arrive out of order by up to the watermark's delay.  They wait in map state, by time and id, and a timer per
-event lets them through in order once the watermark has passed them; later arrivals are dropped by nobody silently
-(``ledger.ingest`` puts them aside).  The open intervals of the key are the other map state.  Keys are
-(subject, object), so a subject with very many labels or reviewers is many small states; a trigger's rows of one key
-are taken one by one.  Closed intervals are emitted, open ones stay in the state.
+Events may arrive out of order by up to the watermark's delay.  They wait in list state, and a timer at the earliest of
+them lets all through in order that the watermark has passed; later arrivals are dropped by nobody silently
+(``ledger.ingest`` puts them aside).  The open intervals of the key are the other list.  Of rows with one time and id the last
+arrival counts.  Each trigger touches the state of a key a fixed number of times, not once per event.  Keys are
+(subject, object), so a subject with very many labels or reviewers is many small states.
+Closed intervals are emitted, open ones stay in the state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Keys with nulls do not come back from the state as they were: the object is a text, empty for none.
-CLOSED = "subject_id bigint, object_key string, value string, start_id bigint, end_id bigint, start_ts timestamp, end_ts timestamp"
+CLOSED = "subject_id bigint, object_key string, value string, start_id bigint, end_id bigint, start_ts bigint, end_ts bigint"
+_NEVER = -(1 << 63)  # stands for no time
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,39 +31,46 @@ class Families(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts bigint, id bigint", "opens boolean, closes boolean, value string")
-        self.open = handle.getMapState("open", "ts bigint, id bigint", "value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            micros = part["ts"].astype("datetime64[us]").astype("int64")
-            for ts, eid, opens, closes, value in zip(micros, part["event_id"], part["opens"], part["closes"], part["value"]):
-                self.waiting.updateValue((int(ts), int(eid)), (bool(opens), bool(closes), None if pd.isna(value) else value))
-                self.handle.registerTimer(int(ts) // 1000 + 1)
+        self.waiting = handle.getListState("waiting_events", "ts bigint, id bigint, opens boolean, closes boolean, value string")
+        self.open = handle.getListState("open_intervals", "ts bigint, id bigint, value string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = [(r.micros, r.event_id, r.opens, r.closes, r.value) for r in rows]
+        if events:
+            self.waiting.appendList(events)
+            self.handle.registerTimer(min(e[0] for e in events) // 1000 + 1)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < due)
+        waiting = {(e[0], e[1]): tuple(e[2:]) for e in self.waiting.get()}
+        ready = sorted(k for k in waiting if k[0] < due)
         if not ready:  # an earlier timer of this watermark took them
             return
-        shown = {tuple(k): v[0] for k, v in self.open.iterator()}
+        shown: dict = {}
+        known = False  # whether the intervals of earlier timers are among the shown ones
         out = []
-        for (ts, eid), (opens, closes, value) in ready:
+        for at in ready:
+            opens, closes, value = waiting.pop(at)
             if closes:
+                if not known:
+                    shown = {(e[0], e[1]): e[2] for e in self.open.get()} | shown
+                    known = True
                 for start, own in sorted(shown.items()):
-                    out.append((key[0], key[1], own, start[1], eid, start[0], ts))
-                    self.open.removeKey(start)
+                    out.append(Row(subject_id=key[0], object_key=key[1], value=own, start_id=start[1], end_id=at[1], start_ts=start[0], end_ts=at[0]))
                 shown = {}
             if opens:
-                shown[ts, eid] = value
-                self.open.updateValue((ts, eid), (value,))
-            self.waiting.removeKey((ts, eid))
-        if out:
-            frame = pd.DataFrame(out, columns=["subject_id", "object_key", "value", "start_id", "end_id", "start_ts", "end_ts"])
-            for c in ("start_ts", "end_ts"):
-                frame[c] = pd.to_datetime(frame[c], unit="us", utc=True)
-            yield frame
+                shown[at] = value
+        left = [(*k, v) for k, v in shown.items()]
+        if known:
+            self.open.clear()
+        if left:
+            self.open.appendList(left)
+        self.waiting.clear()
+        if waiting:
+            self.waiting.appendList([(*k, *v) for k, v in waiting.items()])
+            self.handle.registerTimer(min(waiting)[0] // 1000 + 1)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -78,12 +86,14 @@ def keyed(events: DataFrame, opens: Column, closes: Column, value: Column, objec
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Map state and timers need the RocksDB store."""
+    """List state and timers need the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
 def closed_intervals(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     """Closed intervals of ``keyed`` rows whose end the watermark has passed."""
     use_state_store(rows.sparkSession)
-    found = rows.withWatermark("ts", delay).groupBy("subject_id", "object_key").transformWithStateInPandas(Families(), CLOSED, "Append", "EventTime")
-    return found.select("subject_id", F.when(F.col("object_key") != "", F.col("object_key").cast("bigint")).alias("object_id"), *found.columns[2:])
+    timed = rows.withWatermark("ts", delay).withColumn("micros", F.coalesce(F.unix_micros("ts"), F.lit(_NEVER)))
+    found = timed.groupBy("subject_id", "object_key").transformWithState(Families(), CLOSED, "Append", "EventTime")
+    times = [F.timestamp_micros(F.nullif(F.col(c), F.lit(_NEVER))).alias(c) for c in ("start_ts", "end_ts")]
+    return found.select("subject_id", F.when(F.col("object_key") != "", F.col("object_key").cast("bigint")).alias("object_id"), "value", "start_id", "end_id", *times)
