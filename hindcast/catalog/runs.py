@@ -55,8 +55,9 @@ def run_rebuild(t: DriverTables) -> DataFrame:
         both = mine.select("*", F.lit("mentions").alias("router")).unionByName(mine.filter("s_suppkey % 5 = 0").select("*", F.lit("union").alias("router")))
         result = F.struct((F.col("s_suppkey") + 1).alias("pr_number"), F.col("s_acctbal").alias("balance"))
         payload = F.struct(F.col("router").alias("router_id"), result.alias("result"))
-        both.select(F.concat_ws("-", "s_suppkey", "router").alias("of"), payload.alias("payload")).write.partitionBy("of").json(f"{run}/artifacts")
-        written = runs.run_files(t.spark, root, "artifacts/*/*.json").filter(F.col("run_id") == f"r{i}")
+        # A file per artefact, all in one folder: a folder each would be listed, moved and looked up one by one.
+        both.repartition(t.spark.sparkContext.defaultParallelism).select(payload.alias("payload")).write.option("maxRecordsPerFile", 1).json(f"{run}/artifacts")
+        written = runs.run_tree(t.spark, root, "/artifacts").filter(F.col("run_id") == f"r{i}")
         written.select(F.to_json(F.struct(F.lit("route_result").alias("artifact_type"), F.col("file").alias("relative_path"))).alias("value")).write.text(f"{run}/artifact_index.jsonl")
     rows = runs.rebuilt_rows(t.spark, root)
     return rows.select("repo", "run_id", "pr_number", F.size("routers").cast("bigint").alias("routers"),

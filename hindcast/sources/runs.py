@@ -54,6 +54,18 @@ def run_files(spark: SparkSession, root: str, pattern: str, content: bool = Fals
     return found.select(*_placed(F.col("path")), *text).filter("run_id <> ''")
 
 
+def run_tree(spark: SparkSession, root: str, below: str = "", content: bool = False) -> DataFrame:
+    """``run_files`` of every ``.json`` file at any depth of a folder of all runs: the folders are listed, no path is looked up by itself."""
+    try:
+        every = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{root}/*/*/eval/*{below}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        every = spark.createDataFrame([], "path string, content binary")
+    text = [F.decode("content", "UTF-8").alias("text")] if content else []
+    return every.select(*_placed(F.col("path")), *text).filter("run_id <> ''")
+
+
 def run_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(repo, run_id, at, v) of the lines of one JSON-lines file of all runs; ``at`` grows along a file."""
     meta = "struct<file_path: string, file_block_start: bigint>"
@@ -150,13 +162,7 @@ def route_artifacts(spark: SparkSession, root: str) -> DataFrame:
     v = F.col("v")
     listed = run_lines(spark, root, "artifact_index.jsonl").filter(text_at(v, "$.artifact_type") == "route_result").select(
         *RUN, "at", text_at(v, "$.relative_path").alias("file"))
-    try:
-        every = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{root}/*/*/eval/*")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        every = spark.createDataFrame([], "path string, content binary")
-    payload = every.select(*_placed(F.col("path")), F.try_parse_json(F.decode("content", "UTF-8")).alias("p"))
+    payload = run_tree(spark, root, content=True).select(*RUN, "file", F.try_parse_json("text").alias("p"))
     p = F.col("p")
     result = F.when(_kind(p, "$.payload.result").startswith("OBJECT"), F.try_variant_get(p, "$.payload.result", "variant"))
     number = F.try_variant_get(p, "$.payload.result.pr_number", "string").try_cast("bigint")
