@@ -42,7 +42,8 @@ def regressed_slices(baseline: DataFrame, candidate: DataFrame, limit: int = 20)
 def regressed_examples(baseline: DataFrame, candidate: DataFrame, policy_id: str, limit: int = 20) -> DataFrame:
     """The pull requests that lost most reciprocal rank, observed in both runs."""
     observed = (F.col("policy_id") == policy_id) & (F.col("status") == "observed")
-    rows = align(baseline.filter(observed), candidate.filter(observed), ["pr_id", "router_id", "policy_id"], ["mrr", "hit_at_1"])
+    # Only who scored can lose.
+    rows = align(baseline.filter(observed & (F.col("mrr") > 0)), candidate.filter(observed), ["pr_id", "router_id", "policy_id"], ["mrr", "hit_at_1"])
     return rows.filter(F.round("delta_mrr", 12) < 0).orderBy(F.round("delta_mrr", 12), "pr_id", F.lower("router_id")).limit(limit)
 
 

@@ -32,6 +32,28 @@ def agreement(labels: DataFrame, routes: DataFrame, routers: list[str]) -> DataF
     )
 
 
+def places(rows: DataFrame, lists: dict[str, str]) -> DataFrame:
+    """(repo_id, pr_id, cutoff, policy_id, status, window_end, places): one row per (pull request, policy).
+
+    ``rows`` hold the array ``truths`` (policy_id, status, selected_login, window_end) and for each router the column of
+    its ranked names.  ``places``: per router whether it named anybody and the place of the responder, 0 if not named.
+    """
+    each = rows.select("repo_id", "pr_id", "cutoff", F.explode("truths").alias("t"), *lists.values())
+    place = lambda c: F.coalesce(F.array_position(c, F.col("t.selected_login")), F.lit(0)).cast("int")
+    return each.select("repo_id", "pr_id", "cutoff", "t.policy_id", "t.status", "t.window_end", F.array(*[
+        F.struct(F.lit(r).alias("router_id"), (F.coalesce(F.size(c), F.lit(0)) > 0).alias("router_nonempty"), place(c).alias("place"))
+        for r, c in lists.items()]).alias("places"))
+
+
+def by_router(rows: DataFrame) -> DataFrame:
+    """What ``agreement`` gives, from the rows of ``places``."""
+    each = rows.select("repo_id", "pr_id", "cutoff", "policy_id", "status", F.inline("places"))
+    hit = lambda k: F.when((F.col("place") > 0) & (F.col("place") <= k), 1.0).otherwise(0.0)
+    return each.select(
+        "repo_id", "pr_id", "cutoff", "policy_id", "status", "router_id", "router_nonempty", hit(1).alias("hit_at_1"), hit(3).alias("hit_at_3"),
+        hit(5).alias("hit_at_5"), F.when(F.col("place") > 0, 1.0 / F.col("place")).otherwise(0.0).alias("mrr"))
+
+
 METRICS = ["hit_at_1", "hit_at_3", "hit_at_5", "mrr"]
 
 
